@@ -12,7 +12,129 @@ def _clean(column: str) -> str:
 
 _SIDES = f"SELECT 'from' AS side, {_clean('\"from\"')} AS node FROM edges UNION ALL SELECT 'to', {_clean('\"to\"')} FROM edges"
 
+
+def _groups(rows: str, columns: str, first: bool) -> str:
+    """Group numbers of ``rows`` (k, pos, f, t, others): by first appearance in
+    the order of pos, or by the smallest name. k is the graph."""
+    place = "min(2 * pos + slot)" if first else "min(node)"
+    return f"""
+WITH RECURSIVE rows_in AS ({rows}),
+e AS (SELECT DISTINCT k, f, t FROM rows_in WHERE f IS NOT NULL AND t IS NOT NULL),
+both_ways AS (SELECT k, f, t FROM e UNION SELECT k, t, f FROM e),
+labels(k, node, label) USING KEY (k, node) AS (
+  SELECT k, f, f FROM both_ways GROUP BY k, f
+  UNION
+  SELECT b.k, b.t, min(l.label) FROM labels AS l JOIN both_ways AS b ON b.k = l.k AND b.f = l.node JOIN recurring.labels AS known ON known.k = b.k AND known.node = b.t
+  WHERE l.label < known.label GROUP BY b.k, b.t
+),
+seen AS (SELECT k, f AS node, pos, 0 AS slot FROM rows_in WHERE f IS NOT NULL AND t IS NOT NULL UNION ALL SELECT k, t, pos, 1 FROM rows_in WHERE f IS NOT NULL AND t IS NOT NULL),
+roots AS (SELECT k, label, {place} AS place FROM labels JOIN seen USING (k, node) GROUP BY k, label),
+numbers AS (SELECT k, label, row_number() OVER (PARTITION BY k ORDER BY place) AS n FROM roots)
+SELECT {columns}, coalesce(n, 0) AS "group" FROM rows_in r LEFT JOIN labels l ON l.k = r.k AND l.node = r.f LEFT JOIN numbers u ON u.k = l.k AND u.label = l.label"""
+
+
+_EDGES = 'SELECT 0 AS k, pos, "from" AS f, "to" AS t, value, weight FROM edges'
+
+
+def _page_rank(table: str, iterations: int, threshold: float, tail: str) -> str:
+    return f"""
+WITH RECURSIVE e AS (SELECT "from" AS f, "to" AS t FROM {table} WHERE "from" IS NOT NULL AND "to" IS NOT NULL),
+nodes AS (SELECT f AS node FROM e UNION SELECT t FROM e),
+n AS (SELECT count(*) AS n FROM nodes),
+deg AS (SELECT f, count(*) AS deg FROM e GROUP BY f),
+links AS (SELECT e.f, e.t, count(*) AS mult, any_value(deg) AS deg FROM e JOIN deg USING (f) GROUP BY e.f, e.t),
+pr(i, node, r, moved) AS (
+  SELECT 0, node, 1.0::DOUBLE / n, 1e9::DOUBLE FROM nodes, n
+  UNION ALL
+  SELECT i + 1, node, fresh, sum(abs(fresh - r)) OVER () FROM (
+    SELECT p.i, p.node, p.r, (1.0::DOUBLE - 0.85::DOUBLE) / n + 0.85::DOUBLE * coalesce(g.got, 0) AS fresh
+    FROM pr p CROSS JOIN n LEFT JOIN (SELECT l.t AS node, sum(q.r / l.deg * l.mult) AS got FROM pr q JOIN links l ON l.f = q.node GROUP BY l.t) g ON g.node = p.node
+    WHERE p.i < {iterations} AND p.moved >= {threshold}::DOUBLE)
+),
+last AS (SELECT * FROM pr WHERE i = (SELECT max(i) FROM pr))
+{tail}"""
+
+
+def _paths(directed: bool) -> str:
+    back = "" if directed else "UNION ALL SELECT t, s, w FROM raw"
+    return f"""
+WITH RECURSIVE raw AS (SELECT "from" AS s, "to" AS t, CAST(trunc(weight * 1000) AS BIGINT) AS w FROM routes WHERE "from" IS NOT NULL AND "to" IS NOT NULL AND weight IS NOT NULL),
+e AS (SELECT s, t, min(w) AS w FROM (SELECT s, t, w FROM raw {back}) WHERE s <> t GROUP BY s, t),
+d(s, t, c) USING KEY (s, t) AS (
+  SELECT s, t, w FROM e
+  UNION
+  SELECT s, t, c FROM (SELECT d.s, e.t, min(d.c + e.w) AS c FROM d JOIN e ON e.s = d.t WHERE d.s <> e.t GROUP BY d.s, e.t) x
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.d k WHERE k.s = x.s AND k.t = x.t AND k.c <= x.c)
+)
+SELECT s AS "from", t AS "to", c / 1000.0::DOUBLE AS distance FROM d {"" if directed else "WHERE s < t"}"""
+
+
+def _betweenness(directed: bool, normalized: bool) -> str:
+    back = "" if directed else "UNION ALL SELECT t, s FROM raw"
+    scale = "1.0::DOUBLE / ((n - 1) * (n - 2))" if normalized else ("1.0::DOUBLE" if directed else "0.5::DOUBLE")
+    return f"""
+WITH RECURSIVE raw AS (SELECT "from" AS s, "to" AS t FROM routes WHERE "from" IS NOT NULL AND "to" IS NOT NULL),
+nodes AS (SELECT s AS node FROM raw UNION SELECT t FROM raw), n AS (SELECT count(*)::DOUBLE AS n FROM nodes),
+m AS (SELECT s, t, count(*)::DOUBLE AS c FROM (SELECT s, t FROM raw {back}) WHERE s <> t GROUP BY s, t),
+walk(s, t, d, c) USING KEY (s, t) AS (
+  SELECT node, node, 0, 1.0::DOUBLE FROM nodes
+  UNION
+  SELECT s, t, d, c FROM (SELECT w.s, m.t, w.d + 1 AS d, sum(w.c * m.c) AS c FROM walk w JOIN m ON m.s = w.t GROUP BY w.s, m.t, w.d) x
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.walk k WHERE k.s = x.s AND k.t = x.t)
+),
+b AS (SELECT sv.t AS node, sum(sv.c * vt.c / st.c) AS part FROM walk sv JOIN walk vt ON vt.s = sv.t JOIN walk st ON st.s = sv.s AND st.t = vt.t
+  WHERE sv.s <> sv.t AND vt.s <> vt.t AND st.s <> st.t AND sv.d + vt.d = st.d GROUP BY sv.t)
+SELECT node, round(coalesce(part, 0) * {scale}, 9) AS centrality FROM nodes LEFT JOIN b USING (node), n"""
+
+
+def _rules(rows: str, support: float, confidence: float, cap: int, weighted: bool, columns: str) -> str:
+    """``rows`` gives t, item, f and place, by which items are numbered."""
+    value = "total" if weighted else "cnt"
+    score = "a.f * c.f / a.support" if weighted else "a.cnt / n"
+    return f"""
+WITH RECURSIVE r AS ({rows}),
+n AS (SELECT count(DISTINCT t)::DOUBLE AS n FROM r),
+sized AS (SELECT *, count(*) OVER (PARTITION BY t) AS size FROM r),
+per AS (SELECT item, count(*)::DOUBLE AS cnt, sum(f) AS total, min(place) AS place FROM r GROUP BY item),
+valid AS (SELECT item, cnt, {value} AS support, row_number() OVER (ORDER BY place) AS id FROM per, n WHERE NOT isnan({value}) AND {value} > 0 AND {value} / n >= {support}::DOUBLE),
+x AS (SELECT s.t, s.f, v.* FROM sized s JOIN valid v USING (item) WHERE size <= {cap}),
+ent AS (SELECT * FROM (SELECT a.id, c.id AS c_id, c.item AS consequent, {score} AS conf, a.t FROM x a JOIN x c ON a.t = c.t AND a.id <> c.id, n) WHERE NOT isnan(conf) AND conf >= {confidence}::DOUBLE),
+lift AS (SELECT id, sum(conf) AS lift FROM ent GROUP BY id),
+links AS (SELECT DISTINCT id, c_id FROM ent),
+reach(id, root) USING KEY (id) AS (
+  SELECT id, id FROM valid
+  UNION
+  SELECT l.c_id, min(h.root) FROM reach h JOIN links l ON l.id = h.id JOIN recurring.reach k ON k.id = l.c_id WHERE h.root < k.root GROUP BY l.c_id
+),
+pat AS (SELECT id, dense_rank() OVER (ORDER BY root) AS pattern FROM reach),
+tops AS (SELECT id, string_agg(consequent, '|' ORDER BY rk) AS consequents, string_agg(printf('%.9f', round(conf, 9)), '|' ORDER BY rk) AS confidence_scores
+  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY conf DESC, consequent, t) AS rk FROM ent) WHERE rk <= 5 GROUP BY id)
+SELECT {columns} FROM valid v JOIN pat USING (id) LEFT JOIN lift USING (id) LEFT JOIN tops USING (id)"""
+
+
+_SHORT = "item, {support} AS support, round(coalesce(lift, 0), {digits}) AS lift_score, pattern"
+_LISTS = _SHORT.format(support="round(support, 6)", digits=9) + ", coalesce(consequents, '') AS consequents, coalesce(confidence_scores, '') AS confidence_scores"
+
 ORACLES: dict[str, str] = {
     "p3_found": f"WITH s AS (SELECT * FROM ({_SIDES}) WHERE node IS NOT NULL), n AS (SELECT side, count(*) AS total FROM s GROUP BY side), c AS (SELECT side, node, count(*) AS n FROM s GROUP BY side, node) SELECT side, node FROM c JOIN n USING (side) WHERE c.n * 50 >= total",
     "p3_counts": f"SELECT node, count(*) FILTER (side = 'from') AS n_from, count(*) FILTER (side = 'to') AS n_to FROM ({_SIDES}) WHERE node IS NOT NULL GROUP BY node",
+    "edges_graph_solver": _groups(_EDGES, "pos", False),
+    "edges_super_merger": _groups(_EDGES, "pos, value", True),
+    "edges_super_merger_weighted": _groups(f"SELECT * FROM ({_EDGES}) WHERE weight >= 0.7::DOUBLE", "pos", True),
+    "segment_super_merger_partitioned": _groups(
+        "SELECT c_mktsegment AS k, 0 AS pos, o_orderkey, 'c' || c_custkey AS f, 'p' || o_orderpriority AS t FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice >= 400000", "r.k AS c_mktsegment, o_orderkey", False
+    ),
+    "routes_page_rank": _page_rank("routes", 100, 1e-6, 'SELECT a."from", a."to", a.weight, round(CASE WHEN l.r IS NULL THEN 0 ELSE l.r END, 9) AS pagerank FROM routes a LEFT JOIN last l ON l.node = a."from"'),
+    "routes_page_rank_nodes": _page_rank("routes", 100, 1e-6, "SELECT node, round(r, 9) AS score, i AS iterations FROM last"),
+    "edges_page_rank_nodes": _page_rank("edges", 10, 0.0, "SELECT node, round(r, 9) AS score, i AS iterations FROM last"),
+    "routes_paths_undirected": _paths(False),
+    "routes_paths_directed": _paths(True),
+    "routes_betweenness_undirected": _betweenness(False, True),
+    "routes_betweenness_directed": _betweenness(True, True),
+    "routes_betweenness_raw": _betweenness(True, False),
+    "transactions_rules": _rules("SELECT transaction_id AS t, item_id AS item, 1.0::DOUBLE AS f, item_id AS place FROM transactions WHERE t IS NOT NULL AND item IS NOT NULL", 0.005, 0.005, 50, False, _LISTS),
+    "transactions_rules_weighted": _rules(
+        "SELECT transaction_id AS t, item_id AS item, frequency AS f, pos AS place FROM transactions WHERE t IS NOT NULL AND item IS NOT NULL AND f IS NOT NULL AND NOT isnan(f)", 0.005, 0.005, 50, True, _LISTS
+    ),
+    "lineitem_rules_capped": _rules("SELECT l_orderkey AS t, l_suppkey::VARCHAR AS item, 1.0::DOUBLE AS f, l_suppkey::VARCHAR AS place FROM lineitem", 0.0001, 0.0001, 8, False, _SHORT.format(support="support", digits=6)),
 }

@@ -8,10 +8,105 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise.functions import clean_value
+from edgewise.operators.betweenness import betweenness_centrality
+from edgewise.operators.components import graph_solver, super_merger, super_merger_weighted
 from edgewise.operators.key_counts import counts_per_key, hot_keys
+from edgewise.operators.pagerank import page_rank, page_rank_nodes
+from edgewise.operators.paths import calculate_shortest_path
+from edgewise.operators.rules import graph_association_rules
 from edgewise.sources import read_table
 from edgewise.store import write_table
 
+ROUND = 9
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges_super_merger_weighted(spark, sf_dir)
+
+
+def edges_graph_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all rows, numbered by the smallest name of each group."""
+    return graph_solver(read_table(spark, sf_dir, "edges"), "from", "to").select("pos", "group")
+
+
+def edges_super_merger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all rows, numbered by first appearance."""
+    return super_merger(read_table(spark, sf_dir, "edges"), "from", "to", order_by="pos").select("pos", "value", "group")
+
+
+def edges_super_merger_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_merger_weighted(read_table(spark, sf_dir, "edges"), "from", "to", "weight", 0.7, order_by="pos").select("pos", "group")
+
+
+def segment_super_merger_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One graph for each market segment: orders of at least 400,000 link a customer to an order priority."""
+    orders, customer = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
+    links = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).filter("o_totalprice >= 400000").select("c_mktsegment", "o_orderkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("o_orderpriority")).alias("b"))
+    return super_merger(links, "a", "b", partition_by=["c_mktsegment"]).select("c_mktsegment", "o_orderkey", "group")
+
+
+def routes_page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = page_rank(read_table(spark, sf_dir, "routes"), "from", "to")
+    return ranked.select("from", "to", "weight", F.round("pagerank", ROUND).alias("pagerank"))
+
+
+def routes_page_rank_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_rank_nodes(read_table(spark, sf_dir, "routes"), "from", "to").select("node", F.round("score", ROUND).alias("score"), "iterations")
+
+
+def edges_page_rank_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten iterations over all edges."""
+    scores = page_rank_nodes(read_table(spark, sf_dir, "edges"), "from", "to", max_iterations=10, convergence_threshold=0.0)
+    return scores.select("node", F.round("score", ROUND).alias("score"), "iterations")
+
+
+def routes_paths_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calculate_shortest_path(read_table(spark, sf_dir, "routes"), "from", "to", "weight")
+
+
+def routes_paths_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calculate_shortest_path(read_table(spark, sf_dir, "routes"), "from", "to", "weight", directed=True)
+
+
+def _centrality(spark: SparkSession, sf_dir: str, normalized: bool, directed: bool) -> DataFrame:
+    found = betweenness_centrality(read_table(spark, sf_dir, "routes"), "from", "to", normalized, directed)
+    return found.select("node", F.round("centrality", ROUND).alias("centrality"))
+
+
+def routes_betweenness_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _centrality(spark, sf_dir, True, False)
+
+
+def routes_betweenness_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _centrality(spark, sf_dir, True, True)
+
+
+def routes_betweenness_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _centrality(spark, sf_dir, False, True)
+
+
+def _rounded(rules: DataFrame) -> DataFrame:
+    scores = F.transform("confidence_scores", lambda x: F.round(x, ROUND))
+    return rules.select("item", F.round("support", 6).alias("support"), F.round("lift_score", ROUND).alias("lift_score"), "pattern", F.array_join("consequents", "|").alias("consequents"), F.array_join(F.transform(scores, lambda x: F.format_string("%.9f", x)), "|").alias("confidence_scores"))
+
+
+def transactions_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of all transactions, items numbered by name."""
+    return _rounded(graph_association_rules(read_table(spark, sf_dir, "transactions"), "transaction_id", "item_id", min_support=0.005, min_confidence=0.005))
+
+
+def transactions_rules_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted by frequency; items numbered by first appearance. NaN frequencies make an item's sum NaN, so they are left out first."""
+    rows = read_table(spark, sf_dir, "transactions").filter("frequency is null or not isnan(frequency)")
+    rules = graph_association_rules(rows, "transaction_id", "item_id", "frequency", min_support=0.005, min_confidence=0.005, weighted=True, order_by="pos")
+    return _rounded(rules)
+
+
+def lineitem_rules_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of an order; orders of more than eight lines give no entries."""
+    rules = graph_association_rules(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", min_support=0.0001, min_confidence=0.0001, max_itemset_size=8)
+    return rules.select("item", "support", F.round("lift_score", 6).alias("lift_score"), "pattern")
+
 
 def _node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = read_table(spark, sf_dir, "edges")
@@ -27,4 +122,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot_keys(counts, "node", ["n_from", "n_to"], 1 / 50).select(F.substring("side", 3, 4).alias("side"), "node")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_counts": p3_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        p3_found, p3_counts, edges_graph_solver, edges_super_merger, edges_super_merger_weighted, segment_super_merger_partitioned,
+        routes_page_rank, routes_page_rank_nodes, edges_page_rank_nodes, routes_paths_undirected, routes_paths_directed,
+        routes_betweenness_undirected, routes_betweenness_directed, routes_betweenness_raw, transactions_rules, transactions_rules_weighted, lineitem_rules_capped,
+    )
+}
