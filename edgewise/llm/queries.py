@@ -14,6 +14,7 @@ from edgewise.llm.p5_terms import TermCounts, signed_rows, term_frequencies
 from edgewise.llm.p6_pairs import pairs_together
 from edgewise.llm.p7_pack import container_use, fill_containers
 from edgewise.llm.p8_mix import mix_sources
+from edgewise.llm.p9_subjects import document_subjects
 from edgewise.sources import read_table
 
 
@@ -95,7 +96,20 @@ def p8_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")).rows
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_subjects(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_labels"), read_table(spark, sf_dir, "subject_areas"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The make-up of the corpus: documents of each subject, and their mean share."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.avg("share").alias("mean_share"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_group_sizes, p2_found, p2_top_items, p4_found, p4_best_scores, p5_found, p5_late_rows, p6_found, p6_lift, p7_found, p7_pieces, p7_use, p8_found, p8_report, p8_rows)
+    for f in (p1_found, p1_group_sizes, p2_found, p2_top_items, p4_found, p4_best_scores, p5_found, p5_late_rows, p6_found, p6_lift, p7_found, p7_pieces, p7_use, p8_found, p8_report, p8_rows, p9_found, p9_makeup)
 }
