@@ -41,12 +41,14 @@ def node_list(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def checked_weight(weight: Column) -> Column:
-    """Thousandths of a weight, cut off. Negative, NaN and infinite weights
-    have no shortest path and raise an error."""
+def checked_weight(weight: Column, complete: Column) -> Column:
+    """Thousandths of a weight, cut off; null where the row isn't
+    ``complete``. Negative, NaN and infinite weights of complete rows have no
+    shortest path and raise an error."""
     w = weight.try_cast("double")
     bad = F.isnan(w) | (w < 0) | (w == float("inf"))
-    return F.when(bad, F.raise_error(F.lit("weights must be finite and not negative")).cast("bigint")).otherwise((w * F.lit(MILLI)).cast("bigint"))
+    # One expression, so that no order of filters can raise for a row that takes no part.
+    return F.when(~complete | w.isNull(), F.lit(None).cast("bigint")).when(bad, F.raise_error(F.lit("weights must be finite and not negative")).cast("bigint")).otherwise((w * F.lit(MILLI)).cast("bigint"))
 
 
 def transaction_rows(df: DataFrame, transaction_id: str, item_id: str, frequency: str | None, order_by: str | Sequence[str] | None = None) -> DataFrame:

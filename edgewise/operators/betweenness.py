@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.model import edge_rows, multiplicities, node_list
+from edgewise.operators.small_graphs import LOCAL_EDGES, dependencies, from_every_node
 from edgewise.store import drop, release_shuffles, write_table
 
 
@@ -52,7 +53,7 @@ def _source_batch(links: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def betweenness_centrality(
-    df: DataFrame, from_col: str, to_col: str, normalized: bool = True, directed: bool = False, batches: int = 1
+    df: DataFrame, from_col: str, to_col: str, normalized: bool = True, directed: bool = False, batches: int = 1, local_edges: int = LOCAL_EDGES
 ) -> DataFrame:
     """``(node, centrality)``: one row for every node.
 
@@ -65,14 +66,20 @@ def betweenness_centrality(
 
     All sources advance together, one level a round; the state has up to one
     row for each pair of nodes. ``batches`` cuts the sources by a hash of their
-    name and runs the batches one after the other, which bounds it."""
+    name and runs the batches one after the other, which bounds it. With at
+    most ``local_edges`` merged edges (counted), each task works through its
+    share of the sources in arrays instead."""
     spark = df.sparkSession
     edges = write_table(edge_rows(df, from_col, to_col), "bc-edges")
     links = write_table(multiplicities(edges.filter("src <> dst"), directed), "bc-links")
     nodes = write_table(node_list(edges), "bc-nodes")
     drop(edges)
     n = nodes.count()
-    parts = [_source_batch(links, nodes.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == k)) for k in range(batches)]
+    merged = links.count()
+    if 0 < merged <= local_edges:
+        parts = [from_every_node(links, node_list(links).count(), dependencies, ["src", "dst", "mult"], "node string, part double")]
+    else:
+        parts = [_source_batch(links, nodes.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == k)) for k in range(batches)]
     total = reduce(DataFrame.unionAll, parts).groupBy("node").agg(F.sum("part").alias("part"))
     scale = 1.0 if directed else 0.5
     if normalized:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.functions.naming import free_names
 from edgewise.model import edge_rows, multiplicities, named, node_list
+from edgewise.operators.small_graphs import LOCAL_EDGES, page_rank_arrays
 from edgewise.store import drop, release_shuffles, write_table
 
 
@@ -20,6 +19,7 @@ def page_rank_nodes(
     max_iterations: int = 100,
     convergence_threshold: float = 1e-6,
     redistribute_dangling: bool = False,
+    local_edges: int = LOCAL_EDGES,
 ) -> DataFrame:
     """``(node, score, iterations)``: one row for every node, sinks included.
 
@@ -34,17 +34,23 @@ def page_rank_nodes(
     Parallel edges are merged and divided by the out-degree once, before the
     loop. A round is one join by source and one sum by target, which is
     combined before its shuffle; the round's scores are written together with
-    the change, so that the test for convergence reads no more than that."""
+    the change, so that the test for convergence reads no more than that. With
+    at most ``local_edges`` merged edges (counted), the iterations run in
+    arrays of one task instead."""
     spark = df.sparkSession
-    edges = write_table(edge_rows(df, from_col, to_col), "pr-edges")
-    shares = multiplicities(edges, directed=True)
-    degree = shares.groupBy("src").agg(F.sum("mult").alias("degree"))
-    links = write_table(shares.join(degree, "src").select("src", "dst", (F.col("mult") / F.col("degree")).alias("share"), "mult", "degree"), "pr-links")
-    nodes = write_table(node_list(edges), "pr-nodes")
-    drop(edges)
+    edges = edge_rows(df, from_col, to_col)
+    merged = write_table(multiplicities(edges, directed=True), "pr-merged")
+    nodes = write_table(node_list(merged), "pr-nodes")
     n = nodes.count()
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("score"), F.lit(0).cast("int").alias("iterations"))
+    if merged.count() <= local_edges:
+        drop(nodes)
+        run = page_rank_arrays(n, float(damping_factor), max_iterations, convergence_threshold, redistribute_dangling)
+        return merged.repartition(1).mapInArrow(run, "node string, score double, iterations int")
+    degree = merged.groupBy("src").agg(F.sum("mult").alias("degree"))
+    links = write_table(merged.join(degree, "src"), "pr-links")
+    drop(merged)
     d = float(damping_factor)
     base = F.lit((1.0 - d) / n)
     scores = write_table(nodes.withColumn("score", F.lit(1.0 / n)), "pr-scores")
@@ -86,7 +92,3 @@ def page_rank(
     kept = [c for c in df.columns if c.lower() != "pagerank"]
     joined = df.join(scores.select(F.col("node").alias(node), F.col("score").alias(score)), named(from_col).cast("string") == F.col(node), "left")
     return joined.select(*(named(c) for c in kept), F.coalesce(F.col(score), F.lit(0.0)).alias("pagerank"))
-
-
-def sequence_of(columns: str | Sequence[str]) -> list[str]:
-    return [columns] if isinstance(columns, str) else list(columns)
