@@ -30,7 +30,7 @@ from edgewise.store import drop, release_shuffles, write_table
 
 
 #: Pairs (16 bytes each) that one task labels, if they are counted to be no more.
-LOCAL_PAIRS = 100_000
+LOCAL_PAIRS = 500_000
 
 
 def node_id(name: Column, seed: int) -> Column:
@@ -140,20 +140,29 @@ def component_numbers(
     # A vertex' name within all graphs: the graph's keys with their lengths, so that no two combinations read alike.
     scope = F.concat_ws("", *(F.coalesce(F.concat(F.length(F.col(k).cast("string")), F.lit(":"), F.col(k).cast("string")), F.lit("-")) for k in ks)) if ks else F.lit("")
     vertex = lambda c: F.concat(scope, F.lit("|"), F.col(c)) if ks else F.col(c)
-    first = F.struct(*(F.col(f"_o{i}") for i in range(len(order))), F.col("slot")) if order else None
-    ends = base.select(
-        *ks, *(f"_o{i}" for i in range(len(order))),
-        F.explode(F.array(F.struct(F.lit(0).alias("slot"), F.col("f").alias("node"), vertex("f").alias("vertex")), F.struct(F.lit(1).alias("slot"), F.col("t").alias("node"), vertex("t").alias("vertex")))).alias("x"),
-    ).select("*", "x.*").drop("x")
-    nodes = write_table(ends.groupBy(*ks, "node", "vertex").agg(*([F.min(first).alias("first")] if order else [F.lit(1).alias("first")])), "nodes")
+    names = [f"_o{i}" for i in range(len(order))]
+    # The first appearance. Of one order column the least is kept for each slot, which hash aggregation can do.
+    if len(order) == 1:
+        places = {f"_p{slot}": F.when(F.col("slot") == slot, F.col("_o0")) for slot in (0, 1)}
+        key = F.when(F.col("_p1").isNull() | (F.col("_p0") <= F.col("_p1")), F.struct(F.col("_p0").alias("o"), F.lit(0).alias("s"))).otherwise(F.struct(F.col("_p1").alias("o"), F.lit(1).alias("s")))
+    elif order:
+        places, key = {"_p": F.struct(*names, "slot")}, F.col("_p")
+    else:
+        places, key = {"_p": F.col("node")}, F.col("_p")
+    end = lambda slot, c: F.struct(F.lit(slot).alias("slot"), F.col(c).alias("node"), vertex(c).alias("vertex"))
+    ends = base.select(*ks, *names, F.explode(F.array(end(0, "f"), end(1, "t"))).alias("x")).select("*", "x.*").drop("x")
+    if order:
+        nodes = ends.groupBy(*ks, "node", "vertex").agg(*(F.min(c).alias(a) for a, c in places.items()))
+    else:
+        nodes = ends.select(*ks, "node", "vertex").distinct().withColumn("_p", F.col("node"))
+    nodes = write_table(nodes, "nodes")
     seed = checked_ids(nodes, "vertex")
     pairs = write_table(base.select(node_id(vertex("f"), seed).alias("a"), node_id(vertex("t"), seed).alias("b")), "pairs")
     labels = propagate_minimum(pairs)
-    drop(pairs)
-    named = nodes.withColumn("id", node_id(F.col("vertex"), seed)).join(labels.withColumnRenamed("node", "id"), "id").select(*ks, "node", "root", "first")
-    rank_key = F.min("first") if order else F.min("node")
-    roots = named.groupBy(*ks, "root").agg(rank_key.alias("key"))
-    numbered = number_rows(roots, ks, "key", "group")
+    named = write_table(nodes.withColumn("id", node_id(F.col("vertex"), seed)).join(labels.withColumnRenamed("node", "id"), "id").select(*ks, "node", "root", *places), "named")
+    drop(pairs, nodes, labels)
+    roots = named.groupBy(*ks, "root").agg(*(F.min(a).alias(a) for a in places)).withColumn("key", key)
+    numbered = number_rows(roots.select(*ks, "root", "key"), ks, "key", "group")
     out = named.join(numbered.select("root", "group"), "root")
     return out.select(*(F.col(a).alias(k) for a, k in zip(ks, keys)), "node", "group")
 

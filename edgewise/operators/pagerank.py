@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewise.functions.naming import free_names
 from edgewise.model import edge_rows, multiplicities, named, node_list
-from edgewise.operators.small_graphs import LOCAL_EDGES, page_rank_arrays
+from edgewise.operators.small_graphs import RANKED_EDGES, page_rank_arrays
 from edgewise.store import drop, release_shuffles, write_table
 
 
@@ -19,7 +19,7 @@ def page_rank_nodes(
     max_iterations: int = 100,
     convergence_threshold: float = 1e-6,
     redistribute_dangling: bool = False,
-    local_edges: int = LOCAL_EDGES,
+    local_edges: int = RANKED_EDGES,
 ) -> DataFrame:
     """``(node, score, iterations)``: one row for every node, sinks included.
 
@@ -57,13 +57,14 @@ def page_rank_nodes(
     done = 0
     for done in range(1, max_iterations + 1):
         flows = links.join(scores.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (F.col("score") / F.col("degree") * F.col("mult")).alias("flow"))
-        received = flows.groupBy("node").agg(F.sum("flow").alias("flow"))
+        # Scores and flows meet in one group, so a round has one shuffle of flows and none for a second join.
+        met = flows.select("node", "flow", F.lit(None).cast("double").alias("before")).unionByName(scores.select("node", F.lit(0.0).alias("flow"), F.col("score").alias("before")))
         lost = F.lit(0.0)
         if redistribute_dangling:
             kept = flows.agg(F.sum("flow").alias("kept")).first()["kept"] or 0.0
             lost = F.lit(d * (scores.agg(F.sum("score").alias("s")).first()["s"] - kept) / n)
         following = write_table(
-            scores.join(received, "node", "left").select("node", (base + lost + F.lit(d) * F.coalesce("flow", F.lit(0.0))).alias("score"), F.col("score").alias("before")),
+            met.groupBy("node").agg(F.sum("flow").alias("flow"), F.max("before").alias("before")).select("node", (base + lost + F.lit(d) * F.col("flow")).alias("score"), "before"),
             "pr-scores",
         )
         change = following.agg(F.sum(F.abs(F.col("score") - F.col("before"))).alias("change")).first()["change"]

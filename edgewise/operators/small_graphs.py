@@ -1,11 +1,12 @@
 """Graphs whose edges are counted to be few, in arrays.
 
 A fixpoint loop over tables is several jobs a round, which is what a large
-graph needs and far more than a small one does. Below ``LOCAL_EDGES`` merged
-edges (a few megabytes), a task can hold the whole edge list: PageRank then
-runs in one task, and the kernels that start from every node (shortest paths,
-betweenness) run in as many tasks as there are cores, each of which gets all
-edges and its share of the start nodes. Nothing goes through the driver.
+graph needs and far more than a small one does. A task can hold the whole edge
+list of a small one: up to ``RANKED_EDGES`` merged edges (about 100 MB)
+PageRank runs in one task; up to ``LOCAL_EDGES`` the kernels that start from
+every node (shortest paths, betweenness) run in as many tasks as there are
+cores, each of which gets all edges and its share of the start nodes. Nothing
+goes through the driver.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Merged edges that a task holds.
-LOCAL_EDGES = 200_000
+#: Merged edges that each of many tasks holds, and that one task holds.
+LOCAL_EDGES, RANKED_EDGES = 200_000, 1_000_000
 #: Cells of the work arrays (start nodes times edges) at a time.
 CELLS = 2_000_000
 UNREACHED = np.int64(2**62)
