@@ -54,18 +54,24 @@ class TermCounts:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read_manifest(self) -> dict | None:
-        p, fs = self._fs(f"{self.path}/manifest")
+    def _manifests(self) -> list[int]:
+        """Versions whose manifest was written to its end."""
+        p, fs = self._fs(self.path)
         if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/manifest").orderBy(F.length("value").desc()).first()["value"])
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("manifest-")]
+        return sorted(int(n.rpartition("-")[2]) for n in names if fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[0]))
+
+    def _read_manifest(self) -> dict | None:
+        versions = self._manifests()
+        return json.loads(self.spark.read.text(f"{self.path}/manifest-{versions[-1]}").first()["value"]) if versions else None
 
     def _write_manifest(self) -> None:
+        old = self._manifests()
         text = json.dumps({"version": self.version, "buckets": self.buckets, "at": self.at})
-        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version}")
-        old, fs = self._fs(f"{self.path}/manifest")
-        fs.delete(old, True)
-        fs.rename(self._fs(f"{self.path}/manifest-{self.version}")[0], old)
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{self.version}")
+        for version in old:
+            delete(self.spark, f"{self.path}/manifest-{version}")
 
     def _bucket(self, name: str) -> Column:
         return F.pmod(F.xxhash64(*KEYS[name]), F.lit(self.buckets)).cast("int")
@@ -85,7 +91,7 @@ class TermCounts:
         if self.at[name]:
             merged = merged.groupBy(*KEYS[name]).agg(*(F.sum(c).alias(c) for c in SUMS[name]))
         merged = merged.filter(f"{first} > 0").withColumn("bucket", self._bucket(name))
-        merged.repartition(self.buckets, "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}/v{self.version}")
+        merged.repartition(self.buckets, "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}/v{self.version}")
         p, fs = self._fs(f"{self.path}/{name}/v{self.version}")
         written = {f.getPath().getName().partition("=")[2] for f in fs.listStatus(p) if "=" in f.getPath().getName()}
         stale = {b: v for b, v in self.at[name].items() if touched is None or b in touched}

@@ -119,7 +119,8 @@ def fill_containers(df: DataFrame, key_col: str = "doc_id", size: Column | None
     key_type = dict(sized.dtypes)["key"]
     schema = f"key {key_type}, piece bigint, pieces bigint, start bigint, length bigint, shard bigint, place bigint"
     # Packing costs much more time than the few bytes of its input tell, so the shards are spread by number, not merged by size.
-    packed = rows.repartition(shards, "shard").groupBy("shard").applyInArrow(_pack_shard(capacity), schema)
+    tasks = min(shards, 64 * df.sparkSession.sparkContext.defaultParallelism)
+    packed = rows.repartition(tasks, "shard").groupBy("shard").applyInArrow(_pack_shard(capacity), schema)
     return packed.select("key", "piece", "pieces", "start", "length", (F.col("shard") * F.lit(1 << 32) + F.col("place")).alias("container"))
 
 
