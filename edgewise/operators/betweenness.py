@@ -24,9 +24,8 @@ def _source_batch(links: DataFrame, sources: DataFrame) -> DataFrame:
     levels = [write_table(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("sigma")), "bc-level")]
     while True:
         ahead = levels[-1].join(links, levels[-1]["node"] == links["src"]).groupBy("s", F.col("dst").alias("node")).agg(F.sum(F.col("sigma") * F.col("mult")).alias("sigma"))
-        # A link can only lead back to the level itself or the one before it, or further back if directed.
-        for seen in levels:
-            ahead = ahead.join(seen.select("s", "node"), ["s", "node"], "left_anti")
+        # Directed links can lead back to any level before.
+        ahead = ahead.join(reduce(DataFrame.unionAll, [seen.select("s", "node") for seen in levels]), ["s", "node"], "left_anti")
         following = write_table(ahead, "bc-level")
         if following.isEmpty():
             drop(following)

@@ -121,9 +121,7 @@ ORACLES: dict[str, str] = {
     "edges_graph_solver": _groups(_EDGES, "pos", False),
     "edges_super_merger": _groups(_EDGES, "pos, value", True),
     "edges_super_merger_weighted": _groups(f"SELECT * FROM ({_EDGES}) WHERE weight >= 0.7::DOUBLE", "pos", True),
-    "segment_super_merger_partitioned": _groups(
-        "SELECT c_mktsegment AS k, 0 AS pos, o_orderkey, 'c' || c_custkey AS f, 'p' || o_orderpriority AS t FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice >= 400000", "r.k AS c_mktsegment, o_orderkey", False
-    ),
+    "edges_super_merger_by_day": _groups('SELECT seen_at::DATE AS k, pos, "from" AS f, "to" AS t FROM edges', "pos, r.k AS day", True),
     "routes_page_rank": _page_rank("routes", 100, 1e-6, 'SELECT a."from", a."to", a.weight, round(CASE WHEN l.r IS NULL THEN 0 ELSE l.r END, 9) AS pagerank FROM routes a LEFT JOIN last l ON l.node = a."from"'),
     "routes_page_rank_nodes": _page_rank("routes", 100, 1e-6, "SELECT node, round(r, 9) AS score, i AS iterations FROM last"),
     "edges_page_rank_nodes": _page_rank("edges", 10, 0.0, "SELECT node, round(r, 9) AS score, i AS iterations FROM last"),

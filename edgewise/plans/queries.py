@@ -38,11 +38,10 @@ def edges_super_merger_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return super_merger_weighted(read_table(spark, sf_dir, "edges"), "from", "to", "weight", 0.7, order_by="pos").select("pos", "group")
 
 
-def segment_super_merger_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One graph for each market segment: orders of at least 400,000 link a customer to an order priority."""
-    orders, customer = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
-    links = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).filter("o_totalprice >= 400000").select("c_mktsegment", "o_orderkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("o_orderpriority")).alias("b"))
-    return super_merger(links, "a", "b", partition_by=["c_mktsegment"]).select("c_mktsegment", "o_orderkey", "group")
+def edges_super_merger_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day of ``seen_at`` is a graph of its own."""
+    edges = read_table(spark, sf_dir, "edges").withColumn("day", F.to_date("seen_at"))
+    return super_merger(edges, "from", "to", order_by="pos", partition_by=["day"]).select("pos", "day", "group")
 
 
 def routes_page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +124,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p3_found, p3_counts, edges_graph_solver, edges_super_merger, edges_super_merger_weighted, segment_super_merger_partitioned,
+        p3_found, p3_counts, edges_graph_solver, edges_super_merger, edges_super_merger_weighted, edges_super_merger_by_day,
         routes_page_rank, routes_page_rank_nodes, edges_page_rank_nodes, routes_paths_undirected, routes_paths_directed,
         routes_betweenness_undirected, routes_betweenness_directed, routes_betweenness_raw, transactions_rules, transactions_rules_weighted, lineitem_rules_capped,
     )
