@@ -22,6 +22,8 @@ from edgewise.store import drop, release_shuffles, write_table
 
 #: Ids that a frontier may have to be broadcast: 8 MB of ids, about 30 MB as a hash table. Larger ones are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Pairs that one task labels at the end of the label loop.
+LOCAL_PAIRS = 100_000
 
 
 def _sent(frontier: DataFrame, size: int, broadcast_ids: int) -> DataFrame:
@@ -83,7 +85,7 @@ def match_groups(edges: DataFrame, from_col: str = "from", to_col: str = "to", t
     a, b = node_id(F.col("f"), seed), node_id(F.col("t"), seed)
     pairs = write_table(ends.filter("f <> t").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")), "pairs")
     steps, rest = peel(pairs, start, tail, broadcast_ids)
-    small = propagate_minimum(rest)
+    small = propagate_minimum(rest, local_pairs=LOCAL_PAIRS)
     drop(pairs)
     # The walk's vertices and the part that the start vertex' label covers are one group.
     rooted = small.filter(F.col("node") == start).select("root").first()
