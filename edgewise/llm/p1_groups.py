@@ -30,10 +30,12 @@ def _sent(frontier: DataFrame, size: int, broadcast_ids: int) -> DataFrame:
     return F.broadcast(frontier) if size <= broadcast_ids else frontier
 
 
-def peel(pairs: DataFrame, start: int, tail: float = 0.01, broadcast_ids: int = BROADCAST_IDS, max_steps: int = 1000) -> tuple[list[DataFrame], DataFrame]:
+def peel(pairs: DataFrame, start: int, tail: float = 0.01, broadcast_ids: int = BROADCAST_IDS, max_steps: int = 1000) -> tuple[list[DataFrame], DataFrame, bool]:
     """Walks from ``start`` over ``pairs`` (``a``, ``b``). Gives the written
-    tables of the steps' new vertices (``node``) and the pairs that are left;
-    together they have all vertices of ``pairs`` but ``start`` itself."""
+    tables of the steps' new vertices (``node``), the pairs that are left, and
+    whether the walk ended early. If so, ``start`` and the last step's vertices
+    are among the pairs that are left; otherwise, and for all other steps, the
+    steps' vertices and the pairs have no vertex in common."""
     spark = pairs.sparkSession
     frontier, size, reached, steps = spark.createDataFrame([(start,)], "node bigint"), 1, 1, []
     rest, owned = pairs, None
@@ -50,14 +52,14 @@ def peel(pairs: DataFrame, start: int, tail: float = 0.01, broadcast_ids: int =
         size = following.count()
         if size == 0:
             drop(following)
-            return steps, rest
+            return steps, rest, False
         steps.append(following)
         frontier, reached = following, reached + size
         if size < tail * reached:
             break
     # What hangs on the last step's vertices stays tied to the start vertex.
     tied = frontier.select(F.least("node", F.lit(start)).alias("a"), F.greatest("node", F.lit(start)).alias("b"))
-    return steps, rest.unionByName(tied)
+    return steps, rest.unionByName(tied), True
 
 
 def match_groups(edges: DataFrame, from_col: str = "from", to_col: str = "to", tail: float = 0.01, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -84,16 +86,16 @@ def match_groups(edges: DataFrame, from_col: str = "from", to_col: str = "to", t
     start = top["id"]
     a, b = node_id(F.col("f"), seed), node_id(F.col("t"), seed)
     pairs = write_table(ends.filter("f <> t").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")), "pairs")
-    steps, rest = peel(pairs, start, tail, broadcast_ids)
+    steps, rest, tied = peel(pairs, start, tail, broadcast_ids)
     small = propagate_minimum(rest, local_pairs=LOCAL_PAIRS)
     drop(pairs)
     # The walk's vertices and the part that the start vertex' label covers are one group.
-    rooted = small.filter(F.col("node") == start).select("root").first()
-    root = rooted["root"] if rooted else start
-    peeled = edges.sparkSession.createDataFrame([(start,)], "node bigint")
-    for step in steps:
-        peeled = peeled.unionAll(step)
-    labels = small.unionByName(peeled.join(small.select("node"), "node", "left_anti").withColumn("root", F.lit(root)))
+    root, apart = start, [edges.sparkSession.createDataFrame([(start,)], "node bigint"), *steps]
+    if tied:
+        root, apart = small.filter(F.col("node") == start).select("root").first()["root"], steps[:-1]
+    labels = small
+    for step in apart:
+        labels = labels.unionByName(step.withColumn("root", F.lit(root)))
     named = write_table(nodes.select("node", node_id(F.col("node"), seed).alias("id")).join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root")), "named")
     drop(nodes, small, *steps)
     release_shuffles(edges.sparkSession)
