@@ -162,6 +162,16 @@ Nobody had expected it.
     assert len(sentences("Ein Satz hier. „Noch einer“, sagte sie. " * 20_000)) == 40_000
 
 
+def test_sentences_of_a_cut_paragraph():
+    whole = "The scale fits the dough. Is it worth it? “We kept the bank,” said Lanaba."
+    assert len(sentences(f"A first paragraph. It ends.\n{' '.join([whole] * 40)} Whoever has a whi")) == 2 + 3 * 40
+    assert sentences(f"{whole} Whoever has a whi") == sentences(whole)
+    assert len(sentences("Few people had seen it. It rained that morning. �We kept it,� said Melvalla, �because it came late.�")) == 2
+    assert sentences("Your privacy: 476 partners would like to store data. Manage choices") == []
+    assert sentences("? 2023 delta.example ? Terms of use ? Privacy of readers ? Contact") == []
+    assert sentences("Dr. Meier | Tel. 030 12 | Str. 5 | Contact") == []
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     subjects = {"law": "court judge verdict statute plaintiff attorney clause trial".split(), "music": "violin melody concerto drummer chord album soprano trial".split(), "travel": "ferry suitcase hostel visa airport lodge guidebook pass".split()}
