@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from edgewise.functions import clean_source
 from edgewise.llm.sizes import byte_tokens
-from edgewise.store import write_table
+from edgewise.store import drop, write_table
 
 #: A copy in the unit of the prefix sums.
 UNIT = 1 << 20
@@ -93,15 +93,17 @@ def mix_sources(
     place = local.join(before, ["source", "bucket"]).join(bounded(plan.select("source", "rate")), "source")
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(UNIT))
     position = F.col("before") + F.col("row")
-    copies = place.select("doc_id", "source", "size", _whole(position * F.col("rate") + offset).alias("hi"), _whole((position - 1) * F.col("rate") + offset).alias("lo")).filter("hi > lo")
+    # Written, with the report, so that the draw runs once, and also where only columns of the plan are asked for.
+    copies = write_table(place.select("doc_id", "source", "size", _whole(position * F.col("rate") + offset).alias("hi"), _whole((position - 1) * F.col("rate") + offset).alias("lo")).filter("hi > lo"), "copies")
     rows = copies.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("hi") - F.col("lo"))).alias("copy"))
     drawn = copies.groupBy("source").agg(F.sum(F.col("hi") - F.col("lo")).alias("copies"), F.sum((F.col("hi") - F.col("lo")) * F.col("size")).alias("reached"))
     drawn = drawn.withColumn("all", F.sum("reached").over(Window.partitionBy(F.lit(1))))  # one row for each source
-    report = plan.join(bounded(drawn), "source", "left").select(
+    report = write_table(plan.join(bounded(drawn), "source", "left").select(
         "source", "target_share", "max_repeats", "documents", "size", "wanted", F.coalesce("copies", F.lit(0)).cast("bigint").alias("copies"), F.coalesce("reached", F.lit(0)).cast("bigint").alias("reached"),
         F.coalesce(F.try_divide(F.col("reached").cast("double"), F.col("all").cast("double")), F.lit(0.0)).alias("reached_share"),
         (F.col("size") * F.col("max_repeats") < F.col("wanted")).alias("short"),
-    )
+    ), "report")
+    drop(wish, sized, plan)
     return Mix(rows, report)
 
 

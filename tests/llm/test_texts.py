@@ -13,6 +13,7 @@ from edgewise.llm.p7_pack import container_use, fill, fill_containers, pack
 from edgewise.llm.p8_mix import mix_sources
 from edgewise.llm.p9_subjects import document_subjects
 from edgewise.llm.sizes import bpe_tokens, byte_tokens
+from edgewise.store import path_of
 
 
 def _best_fill(counts, capacity):
@@ -124,6 +125,14 @@ def test_mix(spark, bucket_rows):
     assert {s: r["reached"] for s, r in report.items()} == {s: sum(r["size"] for r in drawn if r["source"] == s) for s in report}
 
 
+def test_mix_is_drawn_whatever_is_asked(spark):
+    """The report is written with its totals, so a query that needs only ``short`` can't leave the draw out."""
+    _, mix = _mix(spark)
+    written = {r["source"]: (r["copies"], r["reached"]) for r in spark.read.parquet(path_of(mix.report)).collect()}
+    drawn = mix.rows.groupBy("source").agg(F.count("*").alias("copies"), F.sum("size").alias("reached")).collect()
+    assert written == {"absent": (0, 0)} | {r["source"]: (r["copies"], r["reached"]) for r in drawn}
+
+
 def test_mix_is_the_same_for_any_partitioning(spark):
     draws = [sorted((r["doc_id"] or -1, r["source"], r["copy"]) for r in _mix(spark, 50, parts)[1].rows.collect()) for parts in (1, 6)]
     assert draws[0] == draws[1]
