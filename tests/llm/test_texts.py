@@ -211,6 +211,19 @@ def test_subjects(spark, corpus):
     assert found[None] == found[0]
 
 
+def test_subject_of_few_documents(spark, corpus):
+    """The words of a subject in less than 1/250 of the documents are evidence too."""
+    frame, labels, areas, _ = corpus
+    copies = [frame.withColumn("doc_id", F.col("doc_id") + 100_000 * k) for k in range(4)]
+    words, rng = "turbine glider runway cockpit rudder fuselage altimeter hangar".split(), random.Random(4)
+    rows = [(-1 - i, " ".join(f"Whoever has a {a} should look after the {b}." for a, b in zip(rng.sample(words, 8), rng.sample(words, 8)))) for i in range(9)]
+    frame = copies[0].unionByName(copies[1]).unionByName(copies[2]).unionByName(copies[3]).select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    labels = labels.union(spark.createDataFrame([(-1 - i, "aviation") for i in range(5)], "doc_id bigint, subject string"))
+    areas = areas.union(spark.createDataFrame([("aviation", "about")], "subject string, about string"))
+    found = document_subjects(frame, labels, areas, leaves=16).filter("doc_id < 0").collect()
+    assert {(r["doc_id"], r["subject"]) for r in found} == {(-1 - i, "aviation") for i in range(9)}
+
+
 def test_subjects_of_nothing(spark, corpus):
     frame, labels, areas, _ = corpus
     for args in ((frame.limit(0), labels, areas), (frame, labels.limit(0), areas), (frame, labels, areas.limit(0))):
