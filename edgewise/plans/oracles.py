@@ -125,6 +125,7 @@ ORACLES: dict[str, str] = {
     "routes_page_rank": _page_rank("routes", 100, 1e-6, 'SELECT a."from", a."to", a.weight, round(CASE WHEN l.r IS NULL THEN 0 ELSE l.r END, 9) AS pagerank FROM routes a LEFT JOIN last l ON l.node = a."from"'),
     "routes_page_rank_nodes": _page_rank("routes", 100, 1e-6, "SELECT node, round(r, 9) AS score, i AS iterations FROM last"),
     "edges_page_rank_nodes": _page_rank("edges", 10, 0.0, "SELECT node, round(r, 9) AS score, i AS iterations FROM last"),
+    "edges_page_rank_converged": _page_rank("edges", 100, 1e-6, "SELECT node, round(r, 9) AS score, i AS iterations FROM last"),
     "routes_paths_undirected": _paths(False),
     "routes_paths_directed": _paths(True),
     "routes_betweenness_undirected": _betweenness(False, True),
