@@ -9,9 +9,10 @@ document is emitted more often than the cap, and the copies of documents of
 every size (the sum runs along the sizes within a bucket) are near their
 expectation.
 
-The prefix sums are exact (whole numbers of 1/2**20 copies) and never run over
-a whole source: documents are put into buckets of a source by a hash, numbered
-within their bucket, and shifted by the counts of the buckets before it.
+The prefix sums are exact (the rate is a fraction of whole numbers, and a row's
+number times it is divided as a whole number) and never run over a whole
+source: documents are put into buckets of a source by a hash, numbered within
+their bucket, and shifted by the counts of the buckets before it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from edgewise.functions import clean_source
 from edgewise.llm.sizes import byte_tokens
 from edgewise.store import drop, write_table
 
-#: A copy in the unit of the prefix sums.
+#: Parts of a token in which a source's wanted size is counted.
 UNIT = 1 << 20
 #: Rows of mix_targets that are broadcast if there are counted to be no more.
 BROADCAST_TARGETS = 100_000
@@ -82,7 +83,8 @@ def mix_sources(
         wish.join(have, "source", "left").select(
             "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
             (F.col("target_share") * F.lit(float(whole))).alias("wanted"),
-        ).withColumn("rate", F.when(F.col("size") > 0, F.floor(F.least(F.greatest("max_repeats", F.lit(0)).cast("double"), F.greatest(F.lit(0.0), F.col("wanted") / F.col("size"))) * UNIT)).otherwise(0).cast("bigint")),
+        ).withColumn("most", _exact(F.greatest("max_repeats", F.lit(0)), 10) * _exact(F.col("size"), 19) * F.lit(UNIT))
+        .withColumn("rate", _exact(F.when(F.col("wanted") >= F.col("max_repeats") * F.col("size").cast("double"), F.col("most")).otherwise(F.least("most", _exact(F.greatest(F.lit(0.0), "wanted") * UNIT, 38))), 22)),
         "plan",
     )
     placed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(buckets)).cast("int"))
@@ -90,11 +92,12 @@ def mix_sources(
     # At most ``buckets`` rows for each source.
     before = counts.select("source", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     local = placed.withColumn("row", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("size", F.xxhash64("doc_id", F.lit(seed)), "doc_id")))
-    place = local.join(before, ["source", "bucket"]).join(bounded(plan.select("source", "rate")), "source")
-    offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(UNIT))
+    place = local.join(before, ["source", "bucket"]).join(bounded(plan.select("source", "rate", _exact(F.greatest("size", F.lit(1)), 19).alias("available"))), "source")
+    offset = _exact(F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(UNIT)), 7) * F.col("available")
     position = F.col("before") + F.col("row")
+    crossed = lambda row: F.call_function("div", _exact(row, 15) * F.col("rate") + offset, F.col("available") * F.lit(UNIT))
     # Written, with the report, so that the draw runs once, and also where only columns of the plan are asked for.
-    copies = write_table(place.select("doc_id", "source", "size", _whole(position * F.col("rate") + offset).alias("hi"), _whole((position - 1) * F.col("rate") + offset).alias("lo")).filter("hi > lo"), "copies")
+    copies = write_table(place.select("doc_id", "source", "size", crossed(position).alias("hi"), crossed(position - 1).alias("lo")).filter("hi > lo"), "copies")
     rows = copies.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("hi") - F.col("lo"))).alias("copy"))
     drawn = copies.groupBy("source").agg(F.sum(F.col("hi") - F.col("lo")).alias("copies"), F.sum((F.col("hi") - F.col("lo")) * F.col("size")).alias("reached"))
     drawn = drawn.withColumn("all", F.sum("reached").over(Window.partitionBy(F.lit(1))))  # one row for each source
@@ -107,6 +110,6 @@ def mix_sources(
     return Mix(rows, report)
 
 
-def _whole(units: Column) -> Column:
-    """Whole copies in a number of units."""
-    return F.shiftright(units, 20)
+def _exact(number: Column, digits: int) -> Column:
+    """A whole number of at most so many digits, for products beyond 64 bits."""
+    return number.cast(f"decimal({digits},0)")

@@ -138,6 +138,14 @@ def test_mix_is_the_same_for_any_partitioning(spark):
     assert draws[0] == draws[1]
 
 
+@pytest.mark.parametrize("total", [2, 2_999_999])
+def test_mix_of_many_documents_is_exact(spark, total):
+    """Also where a document has less than a millionth of a copy, or nearly one."""
+    documents = spark.range(3_000_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    assert mix_sources(documents, targets, size=F.lit(1), total=total).report.first()["copies"] == total
+
+
 def test_mix_of_nothing(spark):
     documents = spark.createDataFrame([], "doc_id bigint, source string, text string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
