@@ -189,6 +189,13 @@ def test_sentences_of_a_cut_paragraph():
     assert sentences("Dr. Meier | Tel. 030 12 | Str. 5 | Contact") == []
 
 
+def test_a_paragraph_about_cookies_is_no_notice():
+    paragraph = "The cookies go into the oven last. Nobody had expected it. The batch was late."
+    assert len(sentences(f"This site stores cookies on your device. By reading on you agree.\n{paragraph}")) == 3
+    assert sentences("We use cookies to improve your visit. Accept all | Reject | Settings") == []
+    assert len(sentences("Whoever bakes cookies should look after the dough " + "and the flour " * 15 + "for days.")) == 1
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     subjects = {"law": "court judge verdict statute plaintiff attorney clause trial".split(), "music": "violin melody concerto drummer chord album soprano trial".split(), "travel": "ferry suitcase hostel visa airport lodge guidebook pass".split()}
