@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 MILLI = 1000.0
 
 
-def named(column: str) -> Column:
-    return F.col(f"`{column}`")
+def named(column: str | Column) -> Column:
+    """A column by its name, whatever it holds; an expression as it is."""
+    return column if isinstance(column, Column) else F.col(f"`{column}`")
 
 
-def edge_rows(df: DataFrame, from_col: str, to_col: str, *extra: Column) -> DataFrame:
+def edge_rows(df: DataFrame, from_col: str | Column, to_col: str | Column, *extra: Column) -> DataFrame:
     """``(src, dst, extra...)`` of the rows with both ends given."""
     return df.select(named(from_col).cast("string").alias("src"), named(to_col).cast("string").alias("dst"), *extra).filter("src is not null and dst is not null")
 

@@ -12,8 +12,8 @@ At the end the parents of the rounds are composed from the last to the first.
 Once the pairs that are left are counted to be few, the last rounds, which
 would each be several jobs over next to nothing, are run in arrays of one task.
 
-Vertices are 64-bit hashes of their names; the hashes are checked against the
-names for collisions, and a collision changes the seed.
+Vertices are 64-bit hashes of their names; names whose hashes meet get ids of
+their own (``NodeIds``).
 """
 
 from __future__ import annotations
@@ -22,38 +22,67 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.functions.naming import free_names
-from edgewise.store import drop, release_shuffles, write_table
-
+from edgewise.model import named
+from edgewise.store import drop, write_table
 
 #: Pairs (16 bytes each) that one task labels, if they are counted to be no more.
 LOCAL_PAIRS = 500_000
+#: Names with an id of their own that are broadcast, if they are counted to be no more.
+BROADCAST_NAMES = 100_000
+
+
+def name_hash(name: Column, bits: int = 63) -> Column:
+    """A whole number of at most ``bits`` bits, never negative."""
+    return F.xxhash64(name).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+class NodeIds:
+    """64-bit ids of names, different for different names.
 
+    The id of a name is its hash, which is an expression and needs no join.
+    Names that share their hash with another (about n²/2⁶⁴ of n names) get
+    negative ids instead, by their place among those few names, which no hash
+    can meet; so there is no number of names at which ids run out. Only where
+    there are such names are they looked up."""
 
-def node_id(name: Column, seed: int) -> Column:
-    """64-bit id of a name."""
-    return F.xxhash64(name, F.lit(seed))
+    def __init__(self, own: DataFrame | None = None, few: bool = True, bits: int = 63) -> None:
+        self.own, self.few, self.bits = own, few, bits
 
+    @classmethod
+    def of(cls, names: DataFrame, column: str = "node", bits: int = 63) -> NodeIds:
+        """Checks all of ``names`` (distinct)."""
+        hashed = names.select(F.col(column).alias("name"), name_hash(F.col(column), bits).alias("hash"))
+        shared = hashed.groupBy("hash").count().filter("count > 1").select("hash")
+        return cls(bits=bits) if shared.isEmpty() else cls.renaming(hashed.join(shared, "hash", "left_semi"), bits)
 
-def both_ends(pairs: DataFrame) -> DataFrame:
-    """``(node, other)``: every pair in both directions, in one pass."""
-    return pairs.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
-                F.struct(F.col("b").alias("node"), F.col("a").alias("other")),
-            )
-        ).alias("x")
-    ).select("x.node", "x.other")
+    @classmethod
+    def renaming(cls, clashing: DataFrame, bits: int = 63) -> NodeIds:
+        """``clashing`` (name): all names that share their hash with others."""
+        own = write_table(number_rows(clashing.select("name"), [], "name", "place").select("name", (-F.col("place")).alias("own")), "own-ids")
+        return cls(own, own.count() <= BROADCAST_NAMES, bits)
+
+    def add(self, df: DataFrame, **columns: str) -> DataFrame:
+        """``df`` with the ids of its columns: ``add(df, a="f")`` adds ``a``, the id of ``f``."""
+        for name, of in columns.items():
+            hashed = F.when(F.col(of).isNotNull(), name_hash(F.col(of), self.bits))
+            if self.own is None:
+                df = df.withColumn(name, hashed)
+                continue
+            own = self.own.select(F.col("name").alias("_own_name"), F.col("own").alias("_own_id"))
+            df = df.join(F.broadcast(own) if self.few else own, F.col(of) == F.col("_own_name"), "left").withColumn(name, F.coalesce("_own_id", hashed)).drop("_own_name", "_own_id")
+        return df
 
 
 def _contract(pairs: DataFrame, parents: DataFrame) -> DataFrame:
-    p = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
-    q = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
-    moved = pairs.join(p, "a").join(q, "b").filter("pa <> pb")
+    """Pairs of the parents. The larger end always has one; a vertex without
+    an entry is its own."""
+    p = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+    q = parents.select(F.col("node").alias("a"), F.col("parent").alias("up"))
+    moved = pairs.join(p, "b").select("a", "pb").join(q, "a", "left").select(F.coalesce("up", "a").alias("pa"), "pb").filter("pa <> pb")
     return moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
 
 
@@ -78,142 +107,144 @@ def _label_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from pa.table({"node": ids, "root": ids[label]}).to_batches()
 
 
-def propagate_minimum(pairs: DataFrame, max_rounds: int = 200, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
-    """``(node, root)`` for every vertex of ``pairs`` (columns ``a`` and ``b``,
-    64-bit ids; loops count as vertices): all vertices of a component get the
-    same ``root``, which is one of them. The result is a written table."""
-    spark = pairs.sparkSession
-    current, levels, labels = pairs.select("a", "b"), [], None
+def propagate_minimum(pairs: DataFrame, max_rounds: int = 200, local_pairs: int = LOCAL_PAIRS) -> tuple[DataFrame, list[DataFrame]]:
+    """``(node, root)`` over ``pairs`` (64-bit ids ``a`` <= ``b``): all
+    vertices of a component have the same ``root``, which is one of them. A
+    vertex without a row is its own root. Also gives the written tables that
+    the frame reads, to be dropped after it was used.
+
+    A round groups the pairs by their larger end only: the least of the
+    smaller ends is that vertex' parent, and vertices without a smaller
+    neighbour keep themselves, so they are in no table. The frame ends in an
+    aggregation by ``node``, whose partitioning a join by ``node`` takes over."""
+    current, levels, labels = pairs.select("a", "b").filter("a <> b"), [], None
     for _ in range(max_rounds):
         if local_pairs > 0 and current.limit(local_pairs + 1).count() <= local_pairs:
             labels = write_table(current.repartition(1).mapInArrow(_label_arrays, "node bigint, root bigint"), "local-labels")
             break
-        nearest = both_ends(current).groupBy("node").agg(F.min("other").alias("other"))
-        parents = write_table(nearest.select("node", F.least("node", "other").alias("parent")), "parents")
-        levels.append(parents)
+        parents = write_table(current.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "parents")
         following = write_table(_contract(current, parents), "contracted")
+        levels.append(parents)
         if len(levels) > 1:
             drop(current)
         current = following
-        release_shuffles(spark)
         if local_pairs <= 0 and current.isEmpty():
-            labels = levels.pop().select("node", F.col("parent").alias("root"))
+            labels = write_table(levels.pop().select("node", F.col("parent").alias("root")), "labels")
+            drop(parents)
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    if not levels:
-        return labels
-    drop(current)
+    if levels:
+        drop(current)
     for parents in reversed(levels):
+        # A parent has a label only if a later round gave it one, and so may vertices that had no parent in this round.
         upper = labels.select(F.col("node").alias("parent"), "root")
-        labels = parents.join(upper, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
-    return write_table(labels, "labels")
-
-
-def checked_ids(names: DataFrame, column: str = "node", seeds: Sequence[int] = range(8)) -> int:
-    """A seed under which the names of ``names`` (distinct) have distinct ids."""
-    for seed in seeds:
-        ids = names.select(node_id(F.col(column), seed).alias("id"))
-        if ids.groupBy("id").count().filter("count > 1").isEmpty():
-            return seed
-    raise RuntimeError("no seed gives the names distinct ids")
-
-
-def component_numbers(
-    df: DataFrame, from_col: str, to_col: str, order_by: str | Sequence[str] | None = None, partition_by: Sequence[str] = ()
-) -> DataFrame:
-    """``(partition_by..., node, group)`` of the graph whose edges are the rows
-    of ``df`` with both ends given. Groups are numbered from 1: by the first
-    row (in the order of ``order_by``, ``from`` before ``to``) that names a
-    node of the group or, without ``order_by``, by the group's smallest node
-    name. With ``partition_by``, each combination of those columns is a graph
-    of its own."""
-    keys = list(partition_by)
-    order = [order_by] if isinstance(order_by, str) else list(order_by or ())
-    ks = [f"_k{i}" for i in range(len(keys))]
-    base = df.select(
-        *(F.col(f"`{k}`").alias(a) for k, a in zip(keys, ks)),
-        F.col(f"`{from_col}`").cast("string").alias("f"),
-        F.col(f"`{to_col}`").cast("string").alias("t"),
-        *(F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)),
-    ).filter("f is not null and t is not null")
-    # A vertex' name within all graphs: the graph's keys with their lengths, so that no two combinations read alike.
-    scope = F.concat_ws("", *(F.coalesce(F.concat(F.length(F.col(k).cast("string")), F.lit(":"), F.col(k).cast("string")), F.lit("-")) for k in ks)) if ks else F.lit("")
-    vertex = lambda c: F.concat(scope, F.lit("|"), F.col(c)) if ks else F.col(c)
-    names = [f"_o{i}" for i in range(len(order))]
+        placed = parents.join(upper, "parent", "left").select("node", F.coalesce("root", "parent").alias("root")).unionAll(labels)
+        composed = placed.groupBy("node").agg(F.min("root").alias("root"))
+        if parents is levels[0]:
+            return composed, [parents, labels]
+        settled = write_table(composed, "labels")
+        drop(parents, labels)
+        labels = settled
+    return labels, [labels]
+
+
+def scoped(name: Column, keys: Sequence[Column]) -> Column:
+    """A name within all graphs: the keys' texts with their lengths before it,
+    so that no two combinations read alike. Null if the name is."""
+    texts = [k.cast("string") for k in keys]
+    return F.concat(*(F.coalesce(F.concat(F.length(k), F.lit(":"), k), F.lit("-")) for k in texts), F.lit("|"), name) if keys else name
+
+
+def component_numbers(ends: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[NodeIds, DataFrame]:
+    """``ends``: (keys..., f, t, order...), where ``f`` and ``t`` name vertices
+    (of all graphs) and may be null, and ``name_f``, ``name_t`` are their
+    names. Gives the vertices' ids and ``(id, group)``. Groups are numbered
+    from 1 within ``keys``: by the first row in ``order``, ``f`` before ``t``,
+    that names a vertex of the group or, without an order, by the group's
+    smallest name."""
+    complete = F.col("f").isNotNull() & F.col("t").isNotNull()
+    end = lambda slot, c: F.struct(F.lit(slot).alias("slot"), F.col(c).alias("vertex"), F.col(f"name_{c}").alias("name"))
+    rows = ends.select(*keys, *order, complete.alias("complete"), F.explode(F.array(end(0, "f"), end(1, "t"))).alias("x")).select("*", "x.*").drop("x").filter("vertex is not null")
     # The first appearance. Of one order column the least is kept for each slot, which hash aggregation can do.
     if len(order) == 1:
-        places = {f"_p{slot}": F.when(F.col("slot") == slot, F.col("_o0")) for slot in (0, 1)}
+        places = {f"_p{slot}": F.when(F.col("complete") & (F.col("slot") == slot), F.col(order[0])) for slot in (0, 1)}
         key = F.when(F.col("_p1").isNull() | (F.col("_p0") <= F.col("_p1")), F.struct(F.col("_p0").alias("o"), F.lit(0).alias("s"))).otherwise(F.struct(F.col("_p1").alias("o"), F.lit(1).alias("s")))
     elif order:
-        places, key = {"_p": F.struct(*names, "slot")}, F.col("_p")
-    else:
-        places, key = {"_p": F.col("node")}, F.col("_p")
-    end = lambda slot, c: F.struct(F.lit(slot).alias("slot"), F.col(c).alias("node"), vertex(c).alias("vertex"))
-    ends = base.select(*ks, *names, F.explode(F.array(end(0, "f"), end(1, "t"))).alias("x")).select("*", "x.*").drop("x")
-    if order:
-        nodes = ends.groupBy(*ks, "node", "vertex").agg(*(F.min(c).alias(a) for a, c in places.items()))
+        places, key = {"_p": F.when(F.col("complete"), F.struct(*order, "slot"))}, F.col("_p")
     else:
-        nodes = ends.select(*ks, "node", "vertex").distinct().withColumn("_p", F.col("node"))
-    nodes = write_table(nodes, "nodes")
-    seed = checked_ids(nodes, "vertex")
-    pairs = write_table(base.select(node_id(vertex("f"), seed).alias("a"), node_id(vertex("t"), seed).alias("b")), "pairs")
-    labels = propagate_minimum(pairs)
-    named = write_table(nodes.withColumn("id", node_id(F.col("vertex"), seed)).join(labels.withColumnRenamed("node", "id"), "id").select(*ks, "node", "root", *places), "named")
-    drop(pairs, nodes, labels)
-    roots = named.groupBy(*ks, "root").agg(*(F.min(a).alias(a) for a in places)).withColumn("key", key)
-    numbered = number_rows(roots.select(*ks, "root", "key"), ks, "key", "group")
-    out = named.join(numbered.select("root", "group"), "root")
-    return out.select(*(F.col(a).alias(k) for a, k in zip(ks, keys)), "node", "group")
+        places, key = {}, F.col("_p")
+    named = rows.groupBy(*keys, "vertex", *([] if order else ["name"])).agg(F.max("complete").alias("complete"), *(F.min(c).alias(a) for a, c in places.items()))
+    if not order:
+        places, named = {"_p": F.col("_p")}, named.withColumnRenamed("name", "_p")
+    nodes = write_table(named, "nodes")
+    ids = NodeIds.of(nodes, "vertex")
+    pairs = write_table(ids.add(ends.filter("f is not null and t is not null and f <> t").select("f", "t"), a="f", b="t").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    labels, held = propagate_minimum(pairs)
+    rooted = ids.add(nodes.filter("complete"), id="vertex").join(labels.withColumnRenamed("node", "id"), "id", "left").select(*keys, "id", F.coalesce("root", "id").alias("root"), *places)
+    rooted = write_table(rooted, "rooted")
+    drop(pairs, nodes, *held)
+    roots = rooted.groupBy(*keys, "root").agg(*(F.min(a).alias(a) for a in places)).withColumn("key", key)
+    numbered = number_rows(roots.select(*keys, "root", "key"), keys, "key", "group")
+    return ids, rooted.select("id", "root").join(numbered.select("root", "group"), "root").select("id", "group")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
     """Adds ``name``: 1, 2, 3 ... in the order of ``order``, within ``keys`` if
-    there are any. Without keys the rows are range-partitioned by the order,
-    numbered within each partition, and shifted by the sizes of the partitions
-    before it; no task sees more than its own range."""
-    from pyspark.sql import Window
-
-    if keys:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint"))
+    there are any. The rows are range-partitioned by keys and order, numbered
+    within each partition, and shifted by the rows of their key in the
+    partitions before it; no task sees more than its own range, also where
+    one key has most rows."""
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = write_table(df.repartitionByRange(int(parts), order).withColumn("_part", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    # One row for each partition, so this window is as small as the number of partitions.
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    local = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return local.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_row")).cast("bigint")).drop("_part", "_row", "_before")
+    ranged = write_table(df.repartitionByRange(int(parts), *keys, order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A partition has at most one key that began before it, so this is at most a row for each partition.
+    before = sizes.withColumn("_before", F.sum("_n").over(earlier)).filter("_before > 0").select(F.col("_part").alias("_at"), *(F.col(k).alias(f"_at_{i}") for i, k in enumerate(keys)), "_before")
+    local = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(order)))
+    same = F.col("_part") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_at_{i}"))
+    shifted = local.join(F.broadcast(before), same, "left")
+    return shifted.select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.col("_row")).cast("bigint").alias(name))
 
 
 def super_merger(
-    df: DataFrame, from_col_name: str, to_col_name: str, order_by: str | Sequence[str] | None = None, partition_by: Sequence[str] = ()
+    df: DataFrame, from_col_name: str | Column, to_col_name: str | Column, order_by: str | Column | Sequence[str | Column] | None = None, partition_by: Sequence[str | Column] = ()
 ) -> DataFrame:
     """All columns of ``df`` and ``group``: the number of the connected
     component of the row's ``from`` node.
 
-    ``from`` and ``to`` are compared as strings. A row with a null end links
-    nothing; its ``group`` is that of its ``from`` node if another, complete
-    row names that node, else 0. A row that names one node twice makes that
-    node a group. Repeated rows are kept and get the same number. An existing
-    column ``group`` (in any case) is replaced; all other columns are
-    untouched, whatever their names. An empty table gives an empty table.
+    Ends, order and keys are column names or expressions over ``df``. ``from``
+    and ``to`` are compared as strings. A row with a null end links nothing;
+    its ``group`` is that of its ``from`` node if another, complete row names
+    that node, else 0. A row that names one node twice makes that node a
+    group. Repeated rows are kept and get the same number. An existing column
+    ``group`` (in any case) is replaced; all other columns are untouched,
+    whatever their names. An empty table gives an empty table.
 
     Groups are numbered 1, 2, 3 ... by first appearance in the order of
     ``order_by``, or by the smallest node name where that isn't given; rows
-    that tie in ``order_by`` count as one place, so it should be unique."""
-    keys = list(partition_by)
-    groups = component_numbers(df, from_col_name, to_col_name, order_by, keys)
+    that tie in ``order_by`` count as one place, so it should be unique. With
+    ``partition_by``, each combination of those values is a graph of its own."""
+    order = [order_by] if isinstance(order_by, (str, Column)) else list(order_by or ())
+    ks = [f"_k{i}" for i in range(len(partition_by))]
+    os = [f"_o{i}" for i in range(len(order))]
+    vertex = lambda name: scoped(F.col(name), [F.col(k) for k in ks])
+    inputs = [*(named(k).alias(a) for k, a in zip(partition_by, ks)), named(from_col_name).cast("string").alias("name_f")]
+    ends = df.select(*inputs, named(to_col_name).cast("string").alias("name_t"), *(named(c).alias(a) for c, a in zip(order, os))).withColumn("f", vertex("name_f")).withColumn("t", vertex("name_t"))
+    ids, groups = component_numbers(ends, ks, os)
+    # The row's vertex and its id travel with the row under names that can't clash.
+    start, key, at, group = free_names(df.columns, "start", "id", "at", "number")
+    keyed = ids.add(df.withColumn(start, scoped(named(from_col_name).cast("string"), [named(k) for k in partition_by])), **{key: start})
+    joined = keyed.join(groups.select(F.col("id").alias(at), F.col("group").alias(group)), F.col(key) == F.col(at), "left")
     kept = [c for c in df.columns if c.lower() != "group"]
-    node, group, *ks = free_names(df.columns, "node", "group", *(f"k{i}" for i in range(len(keys))))
-    lookup = groups.select(F.col("node").alias(node), F.col("group").alias(group), *(F.col(f"`{k}`").alias(a) for k, a in zip(keys, ks)))
-    on = F.col(f"`{from_col_name}`").cast("string") == F.col(node)
-    for k, a in zip(keys, ks):
-        on = on & F.col(f"`{k}`").eqNullSafe(F.col(a))
-    joined = df.join(lookup, on, "left")
-    return joined.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(group), F.lit(0)).cast("bigint").alias("group"))
+    return joined.select(*(named(c) for c in kept), F.coalesce(F.col(group), F.lit(0)).cast("bigint").alias("group"))
 
 
-def graph_solver(df: DataFrame, expr_from: str, expr_to: str, order_by: str | Sequence[str] | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
+def graph_solver(
+    df: DataFrame, expr_from: str | Column, expr_to: str | Column, order_by: str | Column | Sequence[str | Column] | None = None, partition_by: Sequence[str | Column] = ()
+) -> DataFrame:
     """Row-aligned component numbers; the same as ``super_merger``, under the
     name of the expression form."""
     return super_merger(df, expr_from, expr_to, order_by, partition_by)
@@ -221,16 +252,16 @@ def graph_solver(df: DataFrame, expr_from: str, expr_to: str, order_by: str | Se
 
 def super_merger_weighted(
     df: DataFrame,
-    from_col_name: str,
-    to_col_name: str,
-    weighted_col_name: str,
+    from_col_name: str | Column,
+    to_col_name: str | Column,
+    weighted_col_name: str | Column,
     weight_threshold: float = 0.1,
-    order_by: str | Sequence[str] | None = None,
-    partition_by: Sequence[str] = (),
+    order_by: str | Column | Sequence[str | Column] | None = None,
+    partition_by: Sequence[str | Column] = (),
 ) -> DataFrame:
     """``super_merger`` over the rows whose weight is at least
     ``weight_threshold``; other rows, and rows without a weight, are not part
     of the result. NaN counts as larger than any number. Groups are numbered
     after the filter."""
-    strong = df.filter(F.col(f"`{weighted_col_name}`").try_cast("double") >= F.lit(float(weight_threshold)))
+    strong = df.filter(named(weighted_col_name).try_cast("double") >= F.lit(float(weight_threshold)))
     return super_merger(strong, from_col_name, to_col_name, order_by, partition_by)

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from edgewise.operators.components import graph_solver, propagate_minimum, super_merger, super_merger_weighted
+from edgewise.operators.components import NodeIds, graph_solver, propagate_minimum, super_merger, super_merger_weighted
+from edgewise.store import drop
 
 F1 = ["A-B", "B-C", "C-D", "E-F", "F-G", "G-J", "I-K", "I-J", "AA-Z"]
 
@@ -88,9 +89,13 @@ def test_propagation_against_union_find(spark, local_pairs):
     rng = random.Random(4)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, i) for i in range(5001, 5040)] + [(7, 7)]
     ids = {x: rng.getrandbits(62) - 2**61 for x in range(6000)}
-    df = spark.createDataFrame([(ids[a], ids[b]) for a, b in pairs], "a bigint, b bigint")
-    found = {r["node"]: r["root"] for r in propagate_minimum(df, local_pairs=local_pairs).collect()}
+    df = spark.createDataFrame([tuple(sorted((ids[a], ids[b]))) for a, b in pairs], "a bigint, b bigint")
+    labels, held = propagate_minimum(df, local_pairs=local_pairs)
+    rows = labels.collect()
+    drop(*held)
     expected = union_find(pairs)
+    found = {ids[x]: ids[x] for x in expected} | {r["node"]: r["root"] for r in rows}
+    assert len(rows) == len({r["node"] for r in rows})
     assert set(found) == {ids[x] for x in expected}
     by_root = {}
     for x, root in expected.items():
@@ -104,3 +109,31 @@ def test_same_result_for_any_partitioning(spark):
     df = edges(spark, [f"n{rng.randrange(60)}-n{rng.randrange(60)}" for _ in range(50)])
     results = [groups(super_merger(df.repartition(n), "from", "to", order_by="pos")) for n in (1, 5)]
     assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_names_that_share_their_hash(spark, monkeypatch, few):
+    """Three bits for sixty names: nearly every hash is shared."""
+    names = spark.createDataFrame([(f"n{i:02}",) for i in range(60)], "node string")
+    ids = NodeIds.of(names, bits=3)
+    ids.few = few
+    found = {r["node"]: r["id"] for r in ids.add(names, id="node").collect()}
+    assert len(found) == len(set(found.values())) == 60
+    assert ids.add(spark.createDataFrame([(None,)], "node string"), id="node").first()["id"] is None
+
+
+def test_groups_when_all_hashes_meet(spark, monkeypatch):
+    from edgewise.operators import components
+
+    plain = components.name_hash
+    monkeypatch.setattr(components, "name_hash", lambda name, bits=63: plain(name, 2))
+    assert groups(super_merger(edges(spark, [*F1, ("Q", None)]), "from", "to", order_by="pos")) == [1, 1, 1, 2, 2, 2, 2, 2, 3, 0]
+
+
+def test_expressions(spark):
+    """Ends, order and keys may be expressions, also of struct fields."""
+    df = edges(spark, ["a-B", "b-c", "D-e", "E-d"]).select(F.struct("from", "to").alias("pair"), "pos")
+    ends = (F.upper("pair.from"), F.upper(F.col("pair.to")))
+    assert groups(super_merger(df, *ends, order_by=-F.col("pos"))) == [2, 2, 1, 1]
+    assert groups(graph_solver(df, *ends, order_by="pos", partition_by=[F.col("pos") < 1])) == [1, 1, 2, 2]
+    assert groups(super_merger_weighted(df, *ends, F.col("pos") / 10, 0.1, order_by="pos")) == [1, 2, 2]

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from conftest import ROOT
 from edgewise.functions import clean_source, clean_value
 from edgewise.functions.naming import free_names
-from edgewise.operators.components import checked_ids, number_rows
+from edgewise.operators.components import number_rows
 from edgewise.operators.key_counts import counts_per_key, hot_keys
 from edgewise.plans.oracles import ORACLES
 from edgewise.plans.queries import QUERIES, entry
-from edgewise.store import drop, path_of, shared_dir, write_table
+from edgewise.store import drop, path_of, shared_dir, working_tables, write_table
 
 
 def test_clean_values(spark):
@@ -41,11 +41,19 @@ def test_written_tables(spark):
         table.count()
 
 
-def test_collisions_change_the_seed(spark, monkeypatch):
-    from edgewise.operators import components
+def test_working_tables_go(spark):
+    with working_tables(spark):
+        table = write_table(spark.range(5), "t")
+        assert table.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(path_of(table))
+
 
-    monkeypatch.setattr(components, "node_id", lambda name, seed: F.length(name) if seed == 0 else F.xxhash64(name, F.lit(seed)))
-    assert checked_ids(spark.createDataFrame([("a",), ("b",)], "node string")) == 1
+def test_number_rows_within_a_hot_key(spark):
+    rows = [("hot" if i % 10 else None if i % 20 else "k", i * 7 % 1009) for i in range(1000)]
+    found = number_rows(spark.createDataFrame(rows, "k string, x int"), ["k"], "x", "n").collect()
+    expected = {(k, x): n for key in {k for k, _ in rows} for n, (k, x) in enumerate(sorted(r for r in rows if r[0] == key), 1)}
+    assert {(r["k"], r["x"]): r["n"] for r in found} == expected
 
 
 @pytest.mark.parametrize("split_keys", [5, 1_000_000])

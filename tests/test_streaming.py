@@ -18,3 +18,16 @@ def test_running_groups(spark, tmp_path):
     before = running.last_batch
     running.update(spark.createDataFrame([("n00", "zzz")], "`from` string, `to` string"), before)
     assert running.labels.filter("node = 'zzz'").isEmpty()
+
+
+def test_a_new_object_goes_on(spark, tmp_path):
+    schema = "`from` string, `to` string"
+    first = RunningGroups(spark, path=str(tmp_path / "state"))
+    first.update(spark.createDataFrame([("c", "d"), ("a", "b"), ("x", "y")], schema), 0)
+    first.update(spark.createDataFrame([("b", "c")], schema), 1)
+    again = RunningGroups(spark, path=str(tmp_path / "state"))
+    assert again.last_batch == 1
+    again.update(spark.createDataFrame([("lost", "row")], schema), 1)
+    again.update(spark.createDataFrame([], schema), 2)
+    again.update(spark.createDataFrame([("y", "0"), ("d", "e")], schema), 3)
+    assert {r["node"]: r["group_key"] for r in again.labels.collect()} == dict.fromkeys("abcde", "a") | dict.fromkeys("xy0", "0")
