@@ -77,11 +77,16 @@ class NodeIds:
         return df
 
 
-def _contract(pairs: DataFrame, parents: DataFrame) -> DataFrame:
+def _parents(pairs: DataFrame) -> DataFrame:
+    """``(node, parent)`` of the vertices that have a smaller neighbour."""
+    return pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+
+
+def _contract(pairs: DataFrame) -> DataFrame:
     """Pairs of the parents. The larger end always has one; a vertex without
-    an entry is its own."""
-    p = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
-    q = parents.select(F.col("node").alias("a"), F.col("parent").alias("up"))
+    an entry is its own. All three uses of the parents read one shuffle."""
+    p = _parents(pairs).select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+    q = _parents(pairs).select(F.col("node").alias("a"), F.col("parent").alias("up"))
     moved = pairs.join(p, "b").select("a", "pb").join(q, "a", "left").select(F.coalesce("up", "a").alias("pa"), "pb").filter("pa <> pb")
     return moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
 
@@ -107,46 +112,70 @@ def _label_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from pa.table({"node": ids, "root": ids[label]}).to_batches()
 
 
-def propagate_minimum(pairs: DataFrame, max_rounds: int = 200, local_pairs: int = LOCAL_PAIRS) -> tuple[DataFrame, list[DataFrame]]:
-    """``(node, root)`` over ``pairs`` (64-bit ids ``a`` <= ``b``): all
-    vertices of a component have the same ``root``, which is one of them. A
-    vertex without a row is its own root. Also gives the written tables that
-    the frame reads, to be dropped after it was used.
+class Labels:
+    """The roots of vertices: tables of ``(node, root)``, of which the first
+    that has a vertex counts; a vertex that is in none is its own root."""
+
+    def __init__(self, frames: list[DataFrame], written: list[DataFrame]) -> None:
+        self.frames, self.written = frames, written
+
+    def add(self, df: DataFrame, **columns: str) -> DataFrame:
+        """``df`` with the roots of its columns: ``add(df, root="id")`` adds ``root``, that of ``id``. ``df`` is shuffled once for each."""
+        for name, of in columns.items():
+            for k, frame in enumerate(self.frames):
+                df = df.join(frame.select(F.col("node").alias(of), F.col("root").alias(f"_root{k}")), of, "left")
+            roots = [f"_root{k}" for k in range(len(self.frames))]
+            df = df.withColumn(name, F.coalesce(*roots, of)).drop(*roots)
+        return df
+
+    def root_of(self, vertex: int) -> int:
+        """The root of one vertex. Tables that both have it agree, so the last, which is a plain table, is read first."""
+        found = (frame.filter(F.col("node") == vertex).select("root").first() for frame in reversed(self.frames))
+        return next((row["root"] for row in found if row), vertex)
+
+    def drop(self) -> None:
+        """Deletes the tables that the labels are read from."""
+        drop(*self.written)
+
+
+def propagate_minimum(pairs: DataFrame, max_rounds: int = 200, local_pairs: int = LOCAL_PAIRS) -> Labels:
+    """The labels of ``pairs`` (a written table; 64-bit ids ``a`` <= ``b``,
+    pairs of one vertex mean nothing): all vertices of a component have the
+    same root, which is one of them. ``pairs`` must be there until the labels
+    have been used.
 
     A round groups the pairs by their larger end only: the least of the
     smaller ends is that vertex' parent, and vertices without a smaller
-    neighbour keep themselves, so they are in no table. The frame ends in an
-    aggregation by ``node``, whose partitioning a join by ``node`` takes over."""
-    current, levels, labels = pairs.select("a", "b").filter("a <> b"), [], None
+    neighbour keep themselves, so they are in no table."""
+    levels, labels = [pairs.select("a", "b").filter("a <> b")], None
     for _ in range(max_rounds):
-        if local_pairs > 0 and current.limit(local_pairs + 1).count() <= local_pairs:
-            labels = write_table(current.repartition(1).mapInArrow(_label_arrays, "node bigint, root bigint"), "local-labels")
+        if local_pairs > 0 and levels[-1].limit(local_pairs + 1).count() <= local_pairs:
+            labels = write_table(levels[-1].repartition(1).mapInArrow(_label_arrays, "node bigint, root bigint"), "local-labels")
+            drop(levels.pop())
             break
-        parents = write_table(current.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "parents")
-        following = write_table(_contract(current, parents), "contracted")
-        levels.append(parents)
-        if len(levels) > 1:
-            drop(current)
-        current = following
-        if local_pairs <= 0 and current.isEmpty():
-            labels = write_table(levels.pop().select("node", F.col("parent").alias("root")), "labels")
-            drop(parents)
+        levels.append(write_table(_contract(levels[-1]), "contracted"))
+        if local_pairs <= 0 and levels[-1].isEmpty():
+            drop(levels.pop())
+            last = levels.pop()
+            labels = write_table(_parents(last).withColumnRenamed("parent", "root"), "labels")
+            drop(last)
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    if levels:
-        drop(current)
-    for parents in reversed(levels):
-        # A parent has a label only if a later round gave it one, and so may vertices that had no parent in this round.
-        upper = labels.select(F.col("node").alias("parent"), "root")
-        placed = parents.join(upper, "parent", "left").select("node", F.coalesce("root", "parent").alias("root")).unionAll(labels)
-        composed = placed.groupBy("node").agg(F.min("root").alias("root"))
-        if parents is levels[0]:
-            return composed, [parents, labels]
-        settled = write_table(composed, "labels")
-        drop(parents, labels)
+    if not levels:
+        return Labels([labels], [labels])
+
+    def composed(level: DataFrame, upper: DataFrame) -> DataFrame:
+        # A parent has a label only if a later round gave it one.
+        placed = _parents(level).join(upper.select(F.col("node").alias("parent"), "root"), "parent", "left")
+        return placed.select("node", F.coalesce("root", "parent").alias("root"))
+
+    for level in reversed(levels[1:]):
+        # So may vertices that had no parent in this round; where both have a label they agree.
+        settled = write_table(composed(level, labels).unionAll(labels).groupBy("node").agg(F.min("root").alias("root")), "labels")
+        drop(level, labels)
         labels = settled
-    return labels, [labels]
+    return Labels([composed(levels[0], labels), labels], [labels])
 
 
 def scoped(name: Column, keys: Sequence[Column]) -> Column:
@@ -180,10 +209,10 @@ def component_numbers(ends: DataFrame, keys: Sequence[str], order: Sequence[str]
     nodes = write_table(named, "nodes")
     ids = NodeIds.of(nodes, "vertex")
     pairs = write_table(ids.add(ends.filter("f is not null and t is not null and f <> t").select("f", "t"), a="f", b="t").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
-    labels, held = propagate_minimum(pairs)
-    rooted = ids.add(nodes.filter("complete"), id="vertex").join(labels.withColumnRenamed("node", "id"), "id", "left").select(*keys, "id", F.coalesce("root", "id").alias("root"), *places)
-    rooted = write_table(rooted, "rooted")
-    drop(pairs, nodes, *held)
+    labels = propagate_minimum(pairs)
+    rooted = write_table(labels.add(ids.add(nodes.filter("complete"), id="vertex"), root="id").select(*keys, "id", "root", *places), "rooted")
+    drop(pairs, nodes)
+    labels.drop()
     roots = rooted.groupBy(*keys, "root").agg(*(F.min(a).alias(a) for a in places)).withColumn("key", key)
     numbered = number_rows(roots.select(*keys, "root", "key"), keys, "key", "group")
     return ids, rooted.select("id", "root").join(numbered.select("root", "group"), "root").select("id", "group")

@@ -65,9 +65,8 @@ class RunningGroups:
         at = lambda end, name: known.select(F.col("node").alias(end), F.col("group").alias(name))
         linked = ids.add(edges.join(at("src", "f"), "src").join(at("dst", "t"), "dst"), a="f", b="t")
         pairs = write_table(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "batch-pairs")
-        roots, held = propagate_minimum(pairs)
-        placed = ids.add(groups, id="node").join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.col("node").alias("key"), F.coalesce("root", "id").alias("root"))
-        placed = write_table(placed, "batch-placed")
+        roots = propagate_minimum(pairs)
+        placed = write_table(roots.add(ids.add(groups, id="node"), root="id").select(F.col("node").alias("key"), "root"), "batch-placed")
         merged = placed.join(placed.groupBy("root").agg(F.min("key").alias("group_key")), "root").filter("key <> group_key").select("key", "group_key")
         merged = write_table(merged, "batch-merged")
         known.filter("new").select("node", F.col("node").alias("key")).write.mode("overwrite").parquet(f"{self.path}/nodes/batch-{batch_id}")
@@ -79,4 +78,5 @@ class RunningGroups:
         self.last_batch = batch_id
         for b in old:
             delete(self.spark, f"{self.path}/moves/batch-{b}")
-        drop(edges, known, groups, pairs, placed, merged, *held)
+        drop(edges, known, groups, pairs, placed, merged)
+        roots.drop()

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgewise.operators.components import NodeIds, graph_solver, propagate_minimum, super_merger, super_merger_weighted
-from edgewise.store import drop
 
 F1 = ["A-B", "B-C", "C-D", "E-F", "F-G", "G-J", "I-K", "I-J", "AA-Z"]
 
@@ -90,13 +89,12 @@ def test_propagation_against_union_find(spark, local_pairs):
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, i) for i in range(5001, 5040)] + [(7, 7)]
     ids = {x: rng.getrandbits(62) - 2**61 for x in range(6000)}
     df = spark.createDataFrame([tuple(sorted((ids[a], ids[b]))) for a, b in pairs], "a bigint, b bigint")
-    labels, held = propagate_minimum(df, local_pairs=local_pairs)
-    rows = labels.collect()
-    drop(*held)
+    labels = propagate_minimum(df, local_pairs=local_pairs)
     expected = union_find(pairs)
-    found = {ids[x]: ids[x] for x in expected} | {r["node"]: r["root"] for r in rows}
-    assert len(rows) == len({r["node"] for r in rows})
-    assert set(found) == {ids[x] for x in expected}
+    rows = labels.add(spark.createDataFrame([(ids[x],) for x in expected], "id bigint"), root="id").collect()
+    labels.drop()
+    found = {r["id"]: r["root"] for r in rows}
+    assert len(rows) == len(found) == len(expected)
     by_root = {}
     for x, root in expected.items():
         by_root.setdefault(root, set()).add(found[ids[x]])
