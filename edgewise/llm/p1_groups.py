@@ -1,68 +1,80 @@
 """Consolidating pairwise matches into groups.
 
 The giant component is peeled first: from the vertex of highest degree, a
-frontier walks outwards; each step joins the frontier to the edges that are
-left, and edges whose ends have both been reached are gone from then on (the
-anti-join), so that the one group that holds a large part of all vertices
-never goes through the label loop. Once a step adds less than ``tail`` of what
-has been reached, what still hangs on the giant (long, thin arms, where a walk
-would take one step for each vertex) is left to the label loop, tied to the
-start vertex by its boundary edges. The remaining components are labelled by
-minimum propagation (``operators.components.propagate_minimum``).
+frontier walks outwards by joins with the pairs, which stay as they are; a
+step writes the vertices it is the first to reach, and the vertices of the two
+last steps are all that it can meet again. Once a step adds less than ``tail``
+of what has been reached, what still hangs on the giant (long, thin arms, where
+a walk would take one step for each vertex) is left to the label loop, tied to
+the start vertex by its boundary edges. Then one anti-join takes the giant's
+pairs away, and the remaining components are labelled by minimum propagation
+(``operators.components.propagate_minimum``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.functions import clean_name, present
-from edgewise.operators.components import both_ends, checked_ids, node_id, propagate_minimum
-from edgewise.store import drop, release_shuffles, write_table
+from edgewise.model import named
+from edgewise.operators.components import LOCAL_PAIRS, Labels, NodeIds, propagate_minimum
+from edgewise.store import drop, write_table
 
-#: Ids that a frontier may have to be broadcast: 8 MB of ids, about 30 MB as a hash table. Larger ones are joined by a shuffle.
+#: Ids that a frontier, or all that was reached, may have to be broadcast: 8 MB of ids, about 30 MB as a hash table. More are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Pairs that one task labels at the end of the label loop.
-LOCAL_PAIRS = 100_000
 
 
-def _sent(frontier: DataFrame, size: int, broadcast_ids: int) -> DataFrame:
-    return F.broadcast(frontier) if size <= broadcast_ids else frontier
+def _sent(ids: DataFrame, size: int, broadcast_ids: int) -> DataFrame:
+    return F.broadcast(ids) if size <= broadcast_ids else ids
+
+
+def _marked(pairs: DataFrame, ids: DataFrame, size: int, broadcast_ids: int) -> DataFrame:
+    """``pairs`` with ``in_a`` and ``in_b``, true where the end is among ``ids``."""
+    at = lambda end: _sent(ids.select(F.col("node").alias(end), F.lit(True).alias(f"in_{end}")), size, broadcast_ids)
+    return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
 
 
-def peel(pairs: DataFrame, start: int, tail: float = 0.01, broadcast_ids: int = BROADCAST_IDS, max_steps: int = 1000) -> tuple[list[DataFrame], DataFrame, bool]:
+def peel(pairs: DataFrame, start: int, tail: float = 0.01, broadcast_ids: int = BROADCAST_IDS, max_steps: int = 1000) -> tuple[list[DataFrame], DataFrame]:
     """Walks from ``start`` over ``pairs`` (``a``, ``b``). Gives the written
-    tables of the steps' new vertices (``node``), the pairs that are left, and
-    whether the walk ended early. If so, ``start`` and the last step's vertices
-    are among the pairs that are left; otherwise, and for all other steps, the
-    steps' vertices and the pairs have no vertex in common."""
+    tables of the steps' vertices (``node``), the start first, and the written
+    pairs that are left: those without a vertex that was reached and, where
+    the walk ended early, pairs that tie ``start`` to what hangs on it."""
     spark = pairs.sparkSession
-    frontier, size, reached, steps = spark.createDataFrame([(start,)], "node bigint"), 1, 1, []
-    rest, owned = pairs, None
+    frontier, size, reached = write_table(spark.createDataFrame([(start,)], "node bigint"), "reached"), 1, 1
+    steps, ended = [frontier], False
     for _ in range(max_steps):
-        at_a = _sent(frontier.select(F.col("node").alias("a"), F.lit(True).alias("in_a")), size, broadcast_ids)
-        at_b = _sent(frontier.select(F.col("node").alias("b"), F.lit(True).alias("in_b")), size, broadcast_ids)
-        marked = rest.join(at_a, "a", "left").join(at_b, "b", "left").filter("in_a is null or in_b is null")
-        # Rows with one end in the frontier lead on; the others are left for the next step.
-        stepped = write_table(marked.select("a", "b", F.when(F.col("in_a"), F.col("b")).when(F.col("in_b"), F.col("a")).alias("node")), "step")
-        following = write_table(stepped.filter("node is not null").select("node").distinct(), "frontier")
-        drop(owned)
-        rest, owned = stepped.filter("node is null").select("a", "b"), stepped
-        release_shuffles(spark)
+        at = _marked(pairs, frontier, size, broadcast_ids).filter("in_a is null and in_b or in_a and in_b is null")
+        ahead = at.select(F.when(F.col("in_a"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct()
+        # A neighbour of a step's vertex is in that step, the one before or the next.
+        for known in steps[-2:]:
+            ahead = ahead.join(known, "node", "left_anti")
+        following = write_table(ahead, "reached")
         size = following.count()
         if size == 0:
             drop(following)
-            return steps, rest, False
+            ended = True
+            break
         steps.append(following)
         frontier, reached = following, reached + size
         if size < tail * reached:
             break
-    # What hangs on the last step's vertices stays tied to the start vertex.
-    tied = frontier.select(F.least("node", F.lit(start)).alias("a"), F.greatest("node", F.lit(start)).alias("b"))
-    return steps, rest.unionByName(tied), True
+    everything = reduce(DataFrame.unionAll, steps)
+    if ended:  # both ends of a pair were reached, or none
+        rest = pairs.join(_sent(everything.withColumnRenamed("node", "a"), reached, broadcast_ids), "a", "left_anti")
+    else:
+        left = _marked(pairs, everything, reached, broadcast_ids).filter("in_a is null or in_b is null")
+        outer = F.when(F.col("in_a"), F.col("b")).otherwise(F.col("a"))
+        tied = F.col("in_a").isNotNull() | F.col("in_b").isNotNull()
+        rest = left.select(F.when(tied, F.least(outer, F.lit(start))).otherwise(F.col("a")).alias("a"), F.when(tied, F.greatest(outer, F.lit(start))).otherwise(F.col("b")).alias("b"))
+    return steps, write_table(rest.select("a", "b"), "rest")
 
 
-def match_groups(edges: DataFrame, from_col: str = "from", to_col: str = "to", tail: float = 0.01, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def match_groups(
+    edges: DataFrame, from_col: str | Column = "from", to_col: str | Column = "to", tail: float = 0.01, broadcast_ids: int = BROADCAST_IDS, local_pairs: int = LOCAL_PAIRS, bits: int = 63
+) -> DataFrame:
     """``(node, group_key)``: one row for each node, with the smallest node (by
     bytes) of all nodes linked to it directly or through others.
 
@@ -74,33 +86,46 @@ def match_groups(edges: DataFrame, from_col: str = "from", to_col: str = "to", t
     link or label goes to the driver: only the start vertex and counts do.
 
     ``tail``: the walk over the giant component ends once a step adds less
-    than this share of what it reached. ``broadcast_ids``: the largest
-    frontier (in ids, counted) that is broadcast."""
-    ends = edges.select(clean_name(F.col(f"`{from_col}`")).alias("f"), clean_name(F.col(f"`{to_col}`")).alias("t")).filter(present("f") & present("t"))
-    names = ends.select(F.explode(F.array("f", "t")).alias("node"))
-    nodes = write_table(names.groupBy("node").agg(F.count("*").alias("degree")), "nodes")
-    seed = checked_ids(nodes)
-    top = nodes.select(F.max(F.struct("degree", node_id(F.col("node"), seed).alias("id"))).alias("top")).select("top.id").first()
-    if top["id"] is None:
-        return nodes.select("node", F.col("node").alias("group_key"))
-    start = top["id"]
-    a, b = node_id(F.col("f"), seed), node_id(F.col("t"), seed)
-    pairs = write_table(ends.filter("f <> t").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")), "pairs")
-    steps, rest, tied = peel(pairs, start, tail, broadcast_ids)
-    small = propagate_minimum(rest, local_pairs=LOCAL_PAIRS)
-    drop(pairs)
-    # The walk's vertices and the part that the start vertex' label covers are one group.
-    root, apart = start, [edges.sparkSession.createDataFrame([(start,)], "node bigint"), *steps]
-    if tied:
-        root, apart = small.filter(F.col("node") == start).select("root").first()["root"], steps[:-1]
-    labels = small
-    for step in apart:
-        labels = labels.unionByName(step.withColumn("root", F.lit(root)))
-    named = write_table(nodes.select("node", node_id(F.col("node"), seed).alias("id")).join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("root", "id").alias("root")), "named")
-    drop(nodes, small, *steps)
-    release_shuffles(edges.sparkSession)
-    giant, others = named.filter(F.col("root") == root), named.filter(F.col("root") != root)
+    than this share of what it reached. ``broadcast_ids``: the largest number
+    of ids (counted) that is broadcast. ``local_pairs``: pairs that one task
+    labels at the end of the label loop. ``bits``: of the hashed ids. Whether
+    two names share an id is seen when names and labels meet by id; the names
+    that do then get ids of their own, and the pairs are labelled again."""
+    ends = edges.select(clean_name(named(from_col)).alias("f"), clean_name(named(to_col)).alias("t")).filter(present("f") & present("t"))
+    nodes = write_table(ends.select(F.explode(F.array("f", "t")).alias("node")).groupBy("node").agg(F.count("*").alias("degree")), "nodes")
+    ids = NodeIds(bits=bits)
+    while True:
+        # The start is the vertex of highest degree.
+        top = ids.add(nodes.select(F.max(F.struct("degree", "node")).alias("top")).select("top.node"), id="node").first()["id"]
+        if top is None:
+            return nodes.select("node", F.col("node").alias("group_key"))
+        grouped, root = _grouped(ids.add(ends.filter("f <> t"), a="f", b="t"), ids.add(nodes.select("node"), id="node"), top, tail, broadcast_ids, local_pairs)
+        clashing = grouped.filter("names > 1").select(F.col("node").alias("name"))
+        if clashing.isEmpty():
+            break
+        ids = NodeIds.renaming(clashing, bits)
+        drop(grouped)
+    drop(nodes)
+    giant, others = grouped.filter(F.col("root") == root), grouped.filter(F.col("root") != root)
     keys = others.groupBy("root").agg(F.min("node").alias("group_key"))
     # The giant's key is one row.
     key = giant.agg(F.min("node").alias("group_key"))
     return others.join(keys, "root").select("node", "group_key").unionAll(giant.crossJoin(F.broadcast(key)).select("node", "group_key"))
+
+
+def _grouped(ends: DataFrame, nodes: DataFrame, start: int, tail: float, broadcast_ids: int, local_pairs: int) -> tuple[DataFrame, int]:
+    """``(node, root, names)`` as a written table, where ``names`` is the
+    number of nodes with the same id, and the giant's root."""
+    pairs = write_table(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    steps, rest = peel(pairs, start, tail, broadcast_ids)
+    drop(pairs)
+    small = propagate_minimum(rest, local_pairs=local_pairs)
+    # The label loop may have given the start vertex, and what hangs on it, another's id as root.
+    root = small.root_of(start)
+    walked = reduce(DataFrame.unionAll, steps).withColumn("root", F.lit(root))
+    labelled = Labels([walked, *small.frames], []).add(nodes, root="id")
+    sharing = F.count("*").over(Window.partitionBy("id"))
+    grouped = write_table(labelled.select("node", "root", sharing.alias("names")), "grouped")
+    drop(rest, *steps)
+    small.drop()
+    return grouped, root

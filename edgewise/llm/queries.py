@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise.llm.p1_groups import match_groups
 from edgewise.llm.p2_frequent import frequent_items
 from edgewise.llm.p4_topn import top_entries
-from edgewise.llm.p5_terms import TermCounts, signed_rows, term_frequencies
+from edgewise.llm.p5_terms import signed_rows, term_frequencies
 from edgewise.llm.p6_pairs import pairs_together
 from edgewise.llm.p7_pack import container_use, fill_containers
 from edgewise.llm.p8_mix import mix_sources
@@ -44,8 +44,15 @@ def p4_best_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_entries(read_table(spark, sf_dir, "association_rules"), n=10)
 
 
+def _late() -> Column:
+    """Rows that came more than a day after they were recorded."""
+    return F.coalesce(F.col("ingested_at") > F.col("recorded_at") + F.expr("interval 1 day"), F.lit(False))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = term_frequencies(read_table(spark, sf_dir, "transactions")).marks()
+    """All rows: those that came in time, then the late ones as a change."""
+    rows = read_table(spark, sf_dir, "transactions")
+    marks = term_frequencies(rows.filter(~_late()), rows.filter(_late())).marks()
     return marks.filter("mark is not null").select(F.col("term").alias("item_id"), "mark")
 
 
@@ -53,10 +60,7 @@ def p5_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts after three changes: the rows that came within a day, the
     late rows, and the removal of all rows with a negative frequency."""
     rows = read_table(spark, sf_dir, "transactions")
-    late = F.coalesce(F.col("ingested_at") > F.col("recorded_at") + F.expr("interval 1 day"), F.lit(False))
-    counts = TermCounts(spark)
-    counts.apply(signed_rows(rows.filter(~late)))
-    counts.apply(signed_rows(rows.filter(late)))
+    counts = term_frequencies(rows.filter(~_late()), rows.filter(_late()))
     counts.apply(signed_rows(rows.filter("frequency < 0"), -1))
     return counts.marks().select(F.col("term").alias("item_id"), "n_rows", F.col("n_records").alias("n_baskets"), "mark")
 

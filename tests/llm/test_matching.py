@@ -48,6 +48,15 @@ def test_groups(spark, tail, broadcast_ids):
     assert found == _groups(rows)
 
 
+@pytest.mark.parametrize("local_pairs", [0, 500_000])
+def test_groups_when_names_share_their_ids(spark, local_pairs):
+    rng = random.Random(8)
+    rows = [(f"N{rng.randrange(90)}", f"N{rng.randrange(90)}") for _ in range(60)] + [("N1", f"N{i}") for i in range(5, 30)]
+    df = spark.createDataFrame(rows, "`from` string, `to` string")
+    found = {r["node"]: r["group_key"] for r in match_groups(df, local_pairs=local_pairs, bits=5).collect()}
+    assert found == _groups(rows)
+
+
 def test_groups_of_dirty_rows(spark):
     rows = [(" a\t", "B"), ("b ", "c"), ("N/A", "Q"), ("", "R"), (None, "S"), ("T", None), (None, None), ("x", " X")]
     df = spark.createDataFrame(rows, "`from` string, `to` string")
@@ -108,26 +117,64 @@ def _terms(rows):
     return {t: (n[t], len(records[t])) for t in n}
 
 
-def test_term_deltas(spark):
+@pytest.mark.parametrize("broadcast_keys", [0, 500_000])
+@pytest.mark.parametrize("max_runs", [1, 16])
+def test_term_deltas(spark, monkeypatch, broadcast_keys, max_runs):
+    from edgewise.llm import p5_terms
+
+    monkeypatch.setattr(p5_terms, "MAX_RUNS", max_runs)
     rng = random.Random(5)
     make = lambda k: [(rng.choice([None, *range(30)]), rng.choice(["hot", " HOT", None, "", "n/a"] + [f"t{i}" for i in range(20)])) for _ in range(k)]
     frame = lambda rows: spark.createDataFrame(rows, "transaction_id bigint, item_id string")
     base, added = make(400), make(60)
-    store = TermCounts(spark, buckets=3).apply(signed_rows(frame(base)))
+    store = TermCounts(spark, broadcast_keys=broadcast_keys).apply(signed_rows(frame(base)))
     found = lambda s: {r["term"]: (r["n_rows"], r["n_records"]) for r in s.table("terms").collect()}
+    records = lambda rows: len({b for b, item in rows if b is not None and _terms([(b, item)])})
     assert found(store) == _terms(base)
+    assert store.n_records == records(base)
     store.apply(signed_rows(frame(added)))
     assert found(store) == _terms(base + added)
+    assert store.n_records == records(base + added)
     gone = base[:150]
     store.apply(signed_rows(frame(gone), -1))
     assert found(store) == _terms(base[150:] + added)
+    assert store.n_records == records(base[150:] + added)
     again = TermCounts(spark, path=store.path)  # another session reads the same counts
-    assert again.buckets == 3
+    assert again.n_records == store.n_records
     assert found(again) == found(store)
-    # What isn't there can't be deleted.
+    assert all(len(r) <= max_runs for r in again.runs.values())
+    # What isn't there can't be deleted, and nothing changes nothing.
     again.apply(signed_rows(frame([(1, "never"), (2, "t1")] * 500), -1))
+    again.apply(signed_rows(frame([])))
     left = [r for r in base[150:] + added if not (r[0] == 2 and r[1] == "t1")]
     assert found(again) == _terms(left)
+    assert again.n_records == records(left)
+
+
+def test_a_change_writes_what_it_brings(spark, tmp_path):
+    """A change of 6 % leaves the pairs' files as they are and adds a small multiple of itself."""
+    frame = lambda lo, hi: spark.range(lo, hi).select((F.col("id") % 4001).alias("transaction_id"), F.concat(F.lit("t"), F.col("id") % 977).alias("item_id"))
+    size = lambda: {p: p.stat().st_size for p in tmp_path.rglob("*.parquet")}
+    store = TermCounts(spark, path=str(tmp_path)).apply(signed_rows(frame(0, 100_000)))
+    before = size()
+    store.apply(signed_rows(frame(100_000, 106_000)))
+    after = size()
+    assert {p: n for p, n in before.items() if "pairs" in p.parts}.items() <= after.items()
+    assert sum(after.values()) - sum(before.values()) < 0.25 * sum(before.values())
+    # A failed change leaves runs that nothing names; the next change removes them.
+    spark.range(3).selectExpr("'lost' as term", "id as record", "id as n").write.parquet(str(tmp_path / "pairs" / "run-9-lost"))
+    store.apply(signed_rows(frame(0, 10), -1))
+    assert not (tmp_path / "pairs" / "run-9-lost").exists()
+
+
+def test_failed_change_leaves_the_counts(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "transaction_id bigint, item_id string")
+    store = TermCounts(spark, path=str(tmp_path)).apply(signed_rows(df))
+    bad = df.withColumn("item_id", F.when(F.col("transaction_id") == 2, F.raise_error(F.lit("lost"))).otherwise("c"))
+    with pytest.raises(Exception):
+        store.apply(signed_rows(bad))
+    again = TermCounts(spark, path=str(tmp_path))
+    assert {r["term"]: (r["n_rows"], r["n_records"]) for r in again.table("terms").collect()} == {"A": (2, 2), "B": (1, 1)}
 
 
 def test_term_marks(spark):
@@ -148,17 +195,15 @@ def _pairs(rows, min_common, min_lift):
     return {(a, b, k) for (a, b), k in c.items() if k >= min_common and k * len(baskets) >= min_lift * n[a] * n[b]}
 
 
-@pytest.mark.parametrize(("heavy", "item_block", "broadcast_ids"), [(1000, 2048, 500_000), (5, 2048, 500_000), (5, 7, 500_000), (1, 3, 0)])
-def test_pairs(spark, monkeypatch, heavy, item_block, broadcast_ids):
-    from edgewise.llm import p6_pairs
-
-    monkeypatch.setattr(p6_pairs, "RECORD_BLOCK", 4)
+@pytest.mark.parametrize(("item_block", "record_block", "broadcast_ids", "pairs_at_once", "dense_share"), [(2048, 65_536, 500_000, 2_000_000, 1 / 64), (7, 4, 500_000, 50, 2.0), (3, 20, 0, 7, 0.0), (16, 50, 500_000, 300, 0.3)])
+def test_pairs(spark, item_block, record_block, broadcast_ids, pairs_at_once, dense_share):
     rng = random.Random(6)
     rows = [(b, f"i{rng.randrange(60):02}") for b in range(150) for _ in range(rng.randrange(1, 5))] + [(b, f"p{b % 9}{x}") for b in range(150) for x in "ab" if b % 3]
-    rows += [(1000 + b, f"i{k:02}") for b in range(6) for k in range(b, 60, 2)] + [(2000 + b, f"only-heavy-{k}") for b in range(7) for k in range(12)]
+    rows += [(1000 + b, f"i{k:02}") for b in range(6) for k in range(b, 60, 2)] + [(2000 + b, f"only-heavy-{k}") for b in range(7) for k in range(90)]
     rows += rows[:80] + [(None, "i01"), (3, None), (4, "")]
     df = spark.createDataFrame(rows, "transaction_id bigint, item_id string").repartition(5).withColumn("pair", F.lit(1))
-    found = {(r["item_a"], r["item_b"], r["common"]) for r in pairs_together(df, min_common=5, min_lift=2, heavy=heavy, item_block=item_block, broadcast_ids=broadcast_ids).collect()}
+    out = pairs_together(df, min_common=5, min_lift=2, item_block=item_block, record_block=record_block, broadcast_ids=broadcast_ids, pairs_at_once=pairs_at_once, dense_share=dense_share)
+    found = {(r["item_a"], r["item_b"], r["common"]) for r in out.collect()}
     expected = _pairs(rows, 5, 2)
     assert found == expected
     assert any("HEAVY" in a for a, _, _ in expected)
