@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-BLANKS = "E' \\t\\r\\n'"
-
-
-def _clean(column: str) -> str:
-    name = f"upper(trim({column}, {BLANKS}))"
-    return f"CASE WHEN {name} NOT IN ('', 'N/A') THEN {name} END"
+from edgewise.plans.oracles import BLANKS, _clean
 
 
 _GROUPS = f"""
@@ -57,8 +52,9 @@ _SOURCE = f"nullif(lower(trim(source, {BLANKS})), '')"
 _SHORT = f"""
 WITH t AS (SELECT {_SOURCE} AS source, sum(target_share) AS share, max(max_repeats) AS cap FROM mix_targets GROUP BY ALL),
 d AS (SELECT {_SOURCE} AS source, octet_length(encode(text)) + 1 AS size FROM documents WHERE text IS NOT NULL),
-s AS (SELECT t.source, share, cap, coalesce(sum(size), 0) AS size FROM t LEFT JOIN d USING (source) GROUP BY ALL)
-SELECT source FROM s WHERE size * cap < share * (SELECT sum(size) FROM s)"""
+s AS (SELECT t.source, share, cap, coalesce(sum(size), 0)::BIGINT AS size, count(size) AS documents FROM t LEFT JOIN d USING (source) GROUP BY ALL)
+SELECT {{columns}} FROM s"""
+_IS_SHORT = "size * cap < share * (SELECT sum(size) FROM s)"
 
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH RECURSIVE {_GROUPS} SELECT node, label AS group_key FROM labels",
@@ -73,5 +69,8 @@ ORACLES: dict[str, str] = {
     "p6_lift": _pairs("item_a, item_b, common, round(common::DOUBLE * n_all::DOUBLE / (a.n::DOUBLE * b.n::DOUBLE), 6) AS lift", 8, 2),
     "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 8192",
     "p7_pieces": "SELECT doc_id, (octet_length(encode(text)) // 8192 + 1)::BIGINT AS pieces, (octet_length(encode(text)) + 1)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL",
-    "p8_found": _SHORT,
+    "p7_use_holds": "SELECT sum(octet_length(encode(text)) + 1)::BIGINT AS tokens, true AS none_overfull, true AS nearly_least FROM documents WHERE text IS NOT NULL",
+    "p8_found": _SHORT.format(columns="source") + f" WHERE {_IS_SHORT}",
+    "p8_report_holds": _SHORT.format(columns=f"source, documents, size, {_IS_SHORT} AS short, true AS copies_hold, true AS cap_holds, true AS shares_hold"),
+    "p8_rows_hold": _SHORT.format(columns="source, true AS report_holds, true AS cap_holds, true AS all_used"),
 }

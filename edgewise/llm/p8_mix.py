@@ -43,7 +43,7 @@ def mix_sources(
     targets: DataFrame,
     size: Column | None = None,
     key_col: str = "doc_id",
-    total: int | None = None,
+    total: int | str | None = None,
     seed: int = 11,
     bucket_rows: int = 250_000,
 ) -> Mix:
@@ -51,6 +51,10 @@ def mix_sources(
     ``total`` tokens (by default the size of all documents, each once, of all
     sources in ``targets``), with at most ``max_repeats`` copies of each.
 
+    Sources that fall short of their share of the total leave the others with
+    more than theirs of what is drawn. With ``total="reachable"`` it is the
+    largest total of which every source that has documents can give its share.
+
     ``size``: of a document, by default the byte tokens of ``text``; documents
     without a size (null text) are not drawn, nor are those whose source is
     null, empty or not in ``targets``. Sources are compared without white
@@ -77,6 +81,9 @@ def mix_sources(
     sized = write_table(sized.join(bounded(wish.select("source")), "source", "left_semi"), "sized")
     have = sized.groupBy("source").agg(F.count("*").alias("documents"), F.sum("size").alias("size"))
     facts = sized.agg(F.count("*").alias("documents"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    if total == "reachable":
+        most = wish.filter("target_share > 0").join(have.filter("size > 0"), "source").select(F.min(F.col("max_repeats") * F.col("size") / F.col("target_share")).alias("most")).first()["most"]
+        total = max(0, int(most or 0))
     whole = facts["size"] if total is None else total
     buckets = max(1, -(-facts["documents"] // bucket_rows))
     plan = write_table(

@@ -87,6 +87,16 @@ def p7_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container_use(fill_containers(read_table(spark, sf_dir, "documents")))
 
 
+def p7_use_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all tokens are in containers, none holds too much, and their
+    number is at most one and one in a hundred above the least possible."""
+    packed = fill_containers(read_table(spark, sf_dir, "documents"))
+    each = packed.groupBy("container").agg(F.sum("length").alias("used"))
+    facts = each.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("most"))
+    least = F.ceil(F.col("tokens") / 8192)
+    return facts.select("tokens", (F.col("most") <= 8192).alias("none_overfull"), (F.col("containers") <= 1 + least * 1.01).alias("nearly_least"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
     return mix.report.filter("short").select("source")
@@ -100,6 +110,28 @@ def p8_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")).rows
 
 
+def p8_report_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source: whether its copies are the expected number to within
+    one and no more than allowed, and whether the shares add up."""
+    report = p8_report(spark, sf_dir)
+    expected = F.least(F.col("max_repeats").cast("double"), F.try_divide("wanted", F.col("size").cast("double"))) * F.col("documents")
+    shares = report.agg((F.abs(F.sum("reached_share") - 1) < 1e-9).alias("shares_hold"))
+    kept = report.select("source", "documents", "size", "short", (F.abs(F.col("copies") - F.coalesce(expected, F.lit(0.0))) <= 1 + 1e-6).alias("copies_hold"), (F.col("copies") <= F.col("documents") * F.col("max_repeats")).alias("cap_holds"))
+    return kept.crossJoin(F.broadcast(shares))  # one row
+
+
+def p8_rows_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source: whether its rows are those of the report, none oftener
+    than allowed, numbered from 1, and of sources that fall short all of them
+    as often as allowed."""
+    mix = mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    each = mix.rows.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last"), F.sum("size").alias("tokens"))
+    drawn = each.groupBy("source").agg(F.count("*").alias("drawn"), F.sum("n").alias("rows"), F.max("n").alias("most"), F.min("n").alias("least"), F.max("last").alias("last"), F.sum("tokens").alias("tokens"))
+    met = mix.report.join(drawn, "source", "left").na.fill(0)
+    all_used = ~F.col("short") | (F.col("documents") == 0) | ((F.col("drawn") == F.col("documents")) & (F.col("least") == F.col("max_repeats")))
+    return met.select("source", ((F.col("rows") == F.col("copies")) & (F.col("tokens") == F.col("reached"))).alias("report_holds"), ((F.col("most") <= F.col("max_repeats")) & (F.col("last") == F.col("most"))).alias("cap_holds"), all_used.alias("all_used"))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_subjects(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_labels"), read_table(spark, sf_dir, "subject_areas"))
 
@@ -115,5 +147,5 @@ def p9_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_group_sizes, p2_found, p2_top_items, p4_found, p4_best_scores, p5_found, p5_late_rows, p6_found, p6_lift, p7_found, p7_pieces, p7_use, p8_found, p8_report, p8_rows, p9_found, p9_makeup)
+    for f in (p1_found, p1_group_sizes, p2_found, p2_top_items, p4_found, p4_best_scores, p5_found, p5_late_rows, p6_found, p6_lift, p7_found, p7_pieces, p7_use, p7_use_holds, p8_found, p8_report, p8_report_holds, p8_rows, p8_rows_hold, p9_found, p9_makeup)
 }
