@@ -65,6 +65,10 @@ class NodeIds:
         own = write_table(number_rows(clashing.select("name"), [], "name", "place").select("name", (-F.col("place")).alias("own")), "own-ids")
         return cls(own, own.count() <= BROADCAST_NAMES, bits)
 
+    def expression(self, name: str) -> Column | None:
+        """The id of a column, never null, as an expression over it; None if some names must be looked up."""
+        return name_hash(F.col(name), self.bits) if self.own is None else None
+
     def add(self, df: DataFrame, **columns: str) -> DataFrame:
         """``df`` with the ids of its columns: ``add(df, a="f")`` adds ``a``, the id of ``f``."""
         for name, of in columns.items():
@@ -119,13 +123,16 @@ class Labels:
     def __init__(self, frames: list[DataFrame], written: list[DataFrame]) -> None:
         self.frames, self.written = frames, written
 
-    def add(self, df: DataFrame, **columns: str) -> DataFrame:
-        """``df`` with the roots of its columns: ``add(df, root="id")`` adds ``root``, that of ``id``. ``df`` is shuffled once for each."""
+    def add(self, df: DataFrame, **columns: str | Column) -> DataFrame:
+        """``df`` with the roots of its columns: ``add(df, root="id")`` adds
+        ``root``, that of ``id``. ``df`` is shuffled once for each. The id may be
+        an expression over ``df``, which then isn't shuffled with the rows."""
         for name, of in columns.items():
+            vertex, own = named(of), []
             for k, frame in enumerate(self.frames):
-                df = df.join(frame.select(F.col("node").alias(of), F.col("root").alias(f"_root{k}")), of, "left")
-            roots = [f"_root{k}" for k in range(len(self.frames))]
-            df = df.withColumn(name, F.coalesce(*roots, of)).drop(*roots)
+                df = df.join(frame.select(F.col("node").alias(f"_at{k}"), F.col("root").alias(f"_root{k}")), vertex == F.col(f"_at{k}"), "left")
+                own += [f"_at{k}", f"_root{k}"]
+            df = df.withColumn(name, F.coalesce(*own[1::2], vertex)).drop(*own)
         return df
 
     def root_of(self, vertex: int) -> int:
