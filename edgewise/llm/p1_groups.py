@@ -37,10 +37,10 @@ def _marked(pairs: DataFrame, ids: DataFrame, size: int, broadcast_ids: int) ->
     return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
 
 
-def peel(pairs: DataFrame, start: int, tail: float = 0.01, broadcast_ids: int = BROADCAST_IDS, max_steps: int = 1000) -> tuple[list[DataFrame], DataFrame]:
-    """Walks from ``start`` over ``pairs`` (``a``, ``b``). Gives the written
-    tables of the steps' vertices (``node``), the start first, and the written
-    pairs that are left: those without a vertex that was reached and, where
+def peel(pairs: DataFrame, start: int, tail: float = 0.01, broadcast_ids: int = BROADCAST_IDS, max_steps: int = 1000) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Walks from ``start`` over ``pairs`` (``a``, ``b``). Gives the vertices
+    that were reached (``node``), to be broadcast if they are few, the written
+    tables they are in, and the written pairs that are left: those without a vertex that was reached and, where
     the walk ended early, pairs that tie ``start`` to what hangs on it."""
     spark = pairs.sparkSession
     frontier, size, reached = write_table(spark.createDataFrame([(start,)], "node bigint"), "reached"), 1, 1
@@ -61,15 +61,15 @@ def peel(pairs: DataFrame, start: int, tail: float = 0.01, broadcast_ids: int =
         frontier, reached = following, reached + size
         if size < tail * reached:
             break
-    everything = reduce(DataFrame.unionAll, steps)
+    everything = _sent(reduce(DataFrame.unionAll, steps), reached, broadcast_ids)
     if ended:  # both ends of a pair were reached, or none
-        rest = pairs.join(_sent(everything.withColumnRenamed("node", "a"), reached, broadcast_ids), "a", "left_anti")
+        rest = pairs.join(everything.withColumnRenamed("node", "a"), "a", "left_anti")
     else:
         left = _marked(pairs, everything, reached, broadcast_ids).filter("in_a is null or in_b is null")
         outer = F.when(F.col("in_a"), F.col("b")).otherwise(F.col("a"))
         tied = F.col("in_a").isNotNull() | F.col("in_b").isNotNull()
         rest = left.select(F.when(tied, F.least(outer, F.lit(start))).otherwise(F.col("a")).alias("a"), F.when(tied, F.greatest(outer, F.lit(start))).otherwise(F.col("b")).alias("b"))
-    return steps, write_table(rest.select("a", "b"), "rest")
+    return everything, steps, write_table(rest.select("a", "b"), "rest")
 
 
 def match_groups(
@@ -99,7 +99,7 @@ def match_groups(
         top = ids.add(nodes.select(F.max(F.struct("degree", "node")).alias("top")).select("top.node"), id="node").first()["id"]
         if top is None:
             return nodes.select("node", F.col("node").alias("group_key"))
-        grouped, root = _grouped(ids.add(ends.filter("f <> t"), a="f", b="t"), ids.add(nodes.select("node"), id="node"), top, tail, broadcast_ids, local_pairs)
+        grouped, root = _grouped(ids.add(ends.filter("f <> t"), a="f", b="t"), nodes.select("node"), ids, top, tail, broadcast_ids, local_pairs)
         clashing = grouped.filter("names > 1").select(F.col("node").alias("name"))
         if clashing.isEmpty():
             break
@@ -113,18 +113,20 @@ def match_groups(
     return others.join(keys, "root").select("node", "group_key").unionAll(giant.crossJoin(F.broadcast(key)).select("node", "group_key"))
 
 
-def _grouped(ends: DataFrame, nodes: DataFrame, start: int, tail: float, broadcast_ids: int, local_pairs: int) -> tuple[DataFrame, int]:
+def _grouped(ends: DataFrame, nodes: DataFrame, ids: NodeIds, start: int, tail: float, broadcast_ids: int, local_pairs: int) -> tuple[DataFrame, int]:
     """``(node, root, names)`` as a written table, where ``names`` is the
     number of nodes with the same id, and the giant's root."""
     pairs = write_table(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
-    steps, rest = peel(pairs, start, tail, broadcast_ids)
+    reached, steps, rest = peel(pairs, start, tail, broadcast_ids)
     drop(pairs)
     small = propagate_minimum(rest, local_pairs=local_pairs)
     # The label loop may have given the start vertex, and what hangs on it, another's id as root.
     root = small.root_of(start)
-    walked = reduce(DataFrame.unionAll, steps).withColumn("root", F.lit(root))
-    labelled = Labels([walked, *small.frames], []).add(nodes, root="id")
-    sharing = F.count("*").over(Window.partitionBy("id"))
+    vertex = ids.expression("node")
+    if vertex is None:
+        nodes, vertex = ids.add(nodes, id="node"), F.col("id")
+    labelled = Labels([*small.frames, reached.withColumn("root", F.lit(root))], []).add(nodes, root=vertex)
+    sharing = F.count("*").over(Window.partitionBy(vertex))
     grouped = write_table(labelled.select("node", "root", sharing.alias("names")), "grouped")
     drop(rest, *steps)
     small.drop()
