@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgewise.model import edge_rows, multiplicities, node_list
+from edgewise.model import Scopes, edge_rows, multiplicities, node_list
 from edgewise.operators.small_graphs import LOCAL_EDGES, dependencies, from_every_node
-from edgewise.store import drop, write_table
+from edgewise.store import append_table, drop, new_path, write_table
+
+#: Rows of state (pairs of a source and a node it reaches) that a batch of sources may have.
+STATE_ROWS = 500_000_000
 
 
 def _source_batch(links: DataFrame, sources: DataFrame) -> DataFrame:
@@ -17,69 +21,83 @@ def _source_batch(links: DataFrame, sources: DataFrame) -> DataFrame:
     node, as a written table.
 
     Forward, level by level: the number of shortest paths ``sigma`` from each
-    source to the nodes first seen at this level. Backward from the deepest
-    level: a node's dependency is the sum, over the links to the next level, of
-    its share of that node's paths times one plus that node's dependency."""
+    source to the nodes first seen at this level, added to one table of all
+    that was seen, which is read as one to leave out what leads back. Backward
+    from the deepest level: a node's dependency is the sum, over the links to
+    the next level, of its share of that node's paths times one plus that
+    node's dependency."""
     spark = links.sparkSession
-    levels = [write_table(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("sigma")), "bc-level")]
+    path, parts_path, depth = new_path(spark, "bc-seen"), new_path(spark, "bc-delta"), 0
+    seen = append_table(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("sigma"), F.lit(0).alias("level")), path)
     while True:
-        ahead = levels[-1].join(links, levels[-1]["node"] == links["src"]).groupBy("s", F.col("dst").alias("node")).agg(F.sum(F.col("sigma") * F.col("mult")).alias("sigma"))
+        last = seen.filter(F.col("level") == depth).select("s", F.col("node").alias("src"), "sigma")
+        ahead = last.join(links, "src").groupBy("s", F.col("dst").alias("node")).agg(F.sum(F.col("sigma") * F.col("mult")).alias("sigma"))
         # Directed links can lead back to any level before.
-        ahead = ahead.join(reduce(DataFrame.unionAll, [seen.select("s", "node") for seen in levels]), ["s", "node"], "left_anti")
-        following = write_table(ahead, "bc-level")
-        if following.isEmpty():
-            drop(following)
+        fresh = ahead.join(seen.select("s", "node"), ["s", "node"], "left_anti")
+        seen = append_table(fresh.select("s", "node", "sigma", F.lit(depth + 1).alias("level")), path)
+        if seen.filter(F.col("level") == depth + 1).isEmpty():
             break
-        levels.append(following)
-    parts, below = [], None
-    for level in reversed(levels[1:]):
-        here = level.select("s", F.col("node").alias("v"), F.col("sigma").alias("sv"))
-        if below is None:
-            found = here.select("s", F.col("v").alias("node"), F.col("sv").alias("sigma"), F.lit(0.0).alias("delta"))
-        else:
-            next_level = below.select("s", F.col("node").alias("dst"), F.col("sigma").alias("sw"), "delta")
-            flows = here.join(links, here["v"] == links["src"]).join(next_level, ["s", "dst"]).groupBy("s", "v").agg(F.sum(F.col("mult") * F.col("sv") / F.col("sw") * (1 + F.col("delta"))).alias("delta"))
-            found = here.join(flows, ["s", "v"], "left").select("s", F.col("v").alias("node"), F.col("sv").alias("sigma"), F.coalesce("delta", F.lit(0.0)).alias("delta"))
-        below = write_table(found, "bc-delta")
-        parts.append(below)
-    if not parts:
-        drop(*levels)
+        depth += 1
+    if not depth:
+        drop(seen)
         return write_table(spark.createDataFrame([], "node string, part double"), "bc-parts")
-    whole = write_table(reduce(DataFrame.unionAll, [p.select("node", "delta") for p in parts]).groupBy("node").agg(F.sum("delta").alias("part")), "bc-parts")
-    drop(*levels, *parts)
+    deepest = seen.filter(F.col("level") == depth).select("s", "node", "sigma", F.lit(0.0).alias("delta"), "level")
+    parts = append_table(deepest, parts_path)
+    for level in range(depth - 1, 0, -1):
+        here = seen.filter(F.col("level") == level).select("s", F.col("node").alias("src"), F.col("sigma").alias("sv"))
+        below = parts.filter(F.col("level") == level + 1).select("s", F.col("node").alias("dst"), F.col("sigma").alias("sw"), "delta")
+        flows = here.join(links, "src").join(below, ["s", "dst"]).groupBy("s", "src").agg(F.sum(F.col("mult") * F.col("sv") / F.col("sw") * (1 + F.col("delta"))).alias("delta"))
+        found = here.join(flows, ["s", "src"], "left").select("s", F.col("src").alias("node"), F.col("sv").alias("sigma"), F.coalesce("delta", F.lit(0.0)).alias("delta"), F.lit(level).alias("level"))
+        parts = append_table(found, parts_path)
+    whole = write_table(parts.groupBy("node").agg(F.sum("delta").alias("part")), "bc-parts")
+    drop(seen, parts)
     return whole
 
 
 def betweenness_centrality(
-    df: DataFrame, from_col: str, to_col: str, normalized: bool = True, directed: bool = False, batches: int = 1, local_edges: int = LOCAL_EDGES
+    df: DataFrame,
+    from_col: str | Column,
+    to_col: str | Column,
+    normalized: bool = True,
+    directed: bool = False,
+    batches: int | None = None,
+    local_edges: int = LOCAL_EDGES,
+    partition_by: Sequence[str | Column] = (),
 ) -> DataFrame:
     """``(node, centrality)``: one row for every node.
 
-    Paths are shortest by number of edges; parallel edges are different paths
-    (so is an undirected pair given in both directions), loops are on none,
-    ends of a path don't count. Undirected values are halved. Normalised
-    values are divided by the number of pairs of other nodes, which makes them
-    NaN in a graph of one or two nodes. Rows with a null end take no part; an
-    empty table gives no row; other columns are not read.
+    Columns may be names or expressions. Paths are shortest by number of
+    edges; parallel edges are different paths (so is an undirected pair given
+    in both directions), loops are on none, ends of a path don't count.
+    Undirected values are halved. Normalised values are divided by the number
+    of pairs of other nodes, which makes them NaN in a graph of one or two
+    nodes. Rows with a null end take no part; an empty table gives no row;
+    other columns are not read. With ``partition_by``, each combination of its
+    values is a graph of its own, and the values come first in the result.
 
-    All sources advance together, one level a round; the state has up to one
-    row for each pair of nodes. ``batches`` cuts the sources by a hash of their
-    name and runs the batches one after the other, which bounds it. With at
-    most ``local_edges`` merged edges (counted), each task works through its
-    share of the sources in arrays instead."""
-    spark = df.sparkSession
-    edges = write_table(edge_rows(df, from_col, to_col), "bc-edges")
+    The sources of a batch advance together, one level a round. ``batches``
+    cuts the sources by a hash of their name; by default there are as many as
+    keep the state, at most a row for each pair of nodes, within half a billion
+    rows. With at most ``local_edges`` merged edges (counted), each task works
+    through its share of the sources in arrays instead."""
+    scopes = Scopes(df, partition_by)
+    edges = write_table(edge_rows(df, from_col, to_col, scopes=scopes), "bc-edges")
     links = write_table(multiplicities(edges.filter("src <> dst"), directed), "bc-links")
     nodes = write_table(node_list(edges), "bc-nodes")
     drop(edges)
-    n = nodes.count()
     merged = links.count()
     if 0 < merged <= local_edges:
-        parts = [from_every_node(links, node_list(links).count(), dependencies, ["src", "dst", "mult"], "node string, part double")]
+        parts = [from_every_node(links, merged, node_list(links).count(), dependencies, ["src", "dst", "mult"], "node string, part double")]
     else:
-        parts = [_source_batch(links, nodes.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == k)) for k in range(batches)]
+        cut = batches or max(1, -(-(nodes.count() ** 2) // STATE_ROWS))
+        parts = [_source_batch(links, nodes.filter(F.pmod(F.xxhash64("node"), F.lit(cut)) == k)) for k in range(cut)]
+        drop(links)
     total = reduce(DataFrame.unionAll, parts).groupBy("node").agg(F.sum("part").alias("part"))
-    scale = 1.0 if directed else 0.5
+    found = nodes.join(total, "node", "left").withColumn("graph", scopes.of(F.col("node")))
+    value = F.coalesce("part", F.lit(0.0)) * F.lit(1.0 if directed else 0.5)
     if normalized:
-        scale = float("nan") if n <= 2 else (1.0 if directed else 2.0) * scale / ((n - 1) * (n - 2))
-    return nodes.join(total, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * F.lit(scale)).alias("centrality"))
+        sizes = nodes.groupBy(scopes.of(F.col("node")).alias("of")).agg(F.count("*").cast("double").alias("n"))
+        found = found.join(sizes, F.col("graph") == F.col("of"))
+        pairs = (F.col("n") - 1) * (F.col("n") - 2)
+        value = F.when(F.col("n") <= 2, F.lit(float("nan"))).otherwise(value * F.lit(1.0 if directed else 2.0) / pairs)
+    return scopes.named_rows(found, F.col("graph"), scopes.bare(F.col("node")).alias("node"), value.alias("centrality"))

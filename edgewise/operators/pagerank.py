@@ -2,82 +2,114 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.functions.naming import free_names
-from edgewise.model import edge_rows, multiplicities, named, node_list
+from edgewise.model import Scopes, edge_rows, multiplicities, named, node_list
 from edgewise.operators.small_graphs import RANKED_EDGES, page_rank_arrays
-from edgewise.store import drop, write_table
+from edgewise.store import append_table, drop, new_path, write_table
+
+
+def _scores(
+    scopes: Scopes, df: DataFrame, from_col: str | Column, to_col: str | Column, damping_factor: float, max_iterations: int, convergence_threshold: float, redistribute_dangling: bool, local_edges: int
+) -> DataFrame:
+    """``(node, score, iterations)``, with the names of ``scopes``."""
+    merged = write_table(multiplicities(edge_rows(df, from_col, to_col, scopes=scopes), directed=True), "pr-merged")
+    d = float(damping_factor)
+    if merged.count() <= local_edges:
+        run = page_rank_arrays(d, max_iterations, convergence_threshold, redistribute_dangling, bool(scopes.keys))
+        return merged.repartition(1).mapInArrow(run, "node string, score double, iterations int")
+    links = write_table(merged.join(merged.groupBy("src").agg(F.sum("mult").alias("degree")), "src"), "pr-links")
+    graph = scopes.of(F.col("node"))
+    nodes = node_list(merged).withColumn("graph", graph)
+    sizes = nodes.groupBy("graph").agg(F.count("*").alias("n"))
+    scores = write_table(nodes.join(sizes, "graph").select("node", "graph", "n", (F.lit(1.0) / F.col("n")).alias("score")), "pr-scores")
+    drop(merged)
+    # Graphs that have converged, with the rounds they took.
+    path, ended, done = new_path(df.sparkSession, "pr-ended"), None, 0
+    for done in range(1, max_iterations + 1):
+        flows = links.join(scores.select(F.col("node").alias("src"), "score"), "src").select(F.col("dst").alias("node"), (F.col("score") / F.col("degree") * F.col("mult")).alias("flow"))
+        # Scores and flows meet in one group, so a round has one shuffle of flows and none for a second join.
+        met = flows.select("node", "flow", F.lit(None).cast("double").alias("before"), F.lit(None).cast("bigint").alias("n")).unionAll(scores.select("node", F.lit(0.0).alias("flow"), F.col("score").alias("before"), "n"))
+        summed = met.groupBy("node").agg(F.sum("flow").alias("flow"), F.max("before").alias("before"), F.max("n").alias("n")).withColumn("graph", graph)
+        lost = F.lit(0.0)
+        if redistribute_dangling:
+            # What a graph's nodes had and didn't pass on.
+            kept = summed.groupBy("graph").agg((F.sum("before") - F.sum("flow")).alias("lost"))
+            summed, lost = summed.join(kept, "graph"), F.lit(d) * F.col("lost") / F.col("n")
+        score = F.lit(1.0 - d) / F.col("n") + lost + F.lit(d) * F.col("flow")
+        following = write_table(summed.select("node", "graph", "n", score.alias("score"), "before"), "pr-scores")
+        changes = following.groupBy("graph").agg(F.sum(F.abs(F.col("score") - F.col("before"))).alias("change"))
+        drop(scores)
+        scores = following.drop("before")
+        if not scopes.keys:
+            if changes.filter(F.col("change") >= F.lit(convergence_threshold)).isEmpty():
+                break
+            scores = following
+            continue
+        settled = write_table(changes.select("graph", (F.col("change") < F.lit(convergence_threshold)).alias("settled")), "pr-changes")
+        left = settled.filter("not settled")
+        if not settled.filter("settled").isEmpty():
+            ended = append_table(scores.join(settled.filter("settled").select("graph"), "graph").select("node", "score", F.lit(done).alias("iterations")), path)
+            active = write_table(scores.join(left.select("graph"), "graph"), "pr-scores")
+            drop(following)
+            following = active
+        scores, over = following, left.isEmpty()
+        drop(settled)
+        if over:
+            break
+    drop(links)
+    rest = scores.select("node", "score", F.lit(done).cast("int").alias("iterations"))
+    return rest if ended is None else rest.unionAll(ended)
 
 
 def page_rank_nodes(
     df: DataFrame,
-    from_col: str,
-    to_col: str,
+    from_col: str | Column,
+    to_col: str | Column,
     damping_factor: float = 0.85,
     max_iterations: int = 100,
     convergence_threshold: float = 1e-6,
     redistribute_dangling: bool = False,
     local_edges: int = RANKED_EDGES,
+    partition_by: Sequence[str | Column] = (),
 ) -> DataFrame:
     """``(node, score, iterations)``: one row for every node, sinks included.
 
-    Every node starts at 1/n. An iteration gives a node (1-d)/n plus d times
-    the sum, over the edges into it, of the source's score over the source's
-    number of edges; parallel edges count each. It ends after the iteration in
-    which the scores changed by less than ``convergence_threshold`` in all, or
-    after ``max_iterations``. The score of nodes without edges out of them is
-    lost unless ``redistribute_dangling`` spreads it evenly. Rows with a null
-    end take no part; an empty table gives no row.
+    Columns may be names or expressions. Every node starts at 1/n. An
+    iteration gives a node (1-d)/n plus d times the sum, over the edges into
+    it, of the source's score over the source's number of edges; parallel
+    edges count each. It ends after the iteration in which the scores changed
+    by less than ``convergence_threshold`` in all, or after
+    ``max_iterations``. The score of nodes without edges out of them is lost
+    unless ``redistribute_dangling`` spreads it evenly. Rows with a null end
+    take no part; an empty table gives no row. With ``partition_by``, each
+    combination of its values is a graph of its own, with its own n and end,
+    and the values come first in the result.
 
     Parallel edges are merged and divided by the out-degree once, before the
     loop. A round is one join by source and one sum by target, which is
     combined before its shuffle; the round's scores are written together with
-    the change, so that the test for convergence reads no more than that. With
-    at most ``local_edges`` merged edges (counted), the iterations run in
-    arrays of one task instead."""
-    spark = df.sparkSession
-    edges = edge_rows(df, from_col, to_col)
-    merged = write_table(multiplicities(edges, directed=True), "pr-merged")
-    nodes = write_table(node_list(merged), "pr-nodes")
-    n = nodes.count()
-    if n == 0:
-        return nodes.select("node", F.lit(0.0).alias("score"), F.lit(0).cast("int").alias("iterations"))
-    if merged.count() <= local_edges:
-        drop(nodes)
-        run = page_rank_arrays(n, float(damping_factor), max_iterations, convergence_threshold, redistribute_dangling)
-        return merged.repartition(1).mapInArrow(run, "node string, score double, iterations int")
-    degree = merged.groupBy("src").agg(F.sum("mult").alias("degree"))
-    links = write_table(merged.join(degree, "src"), "pr-links")
-    drop(merged)
-    d = float(damping_factor)
-    base = F.lit((1.0 - d) / n)
-    scores = write_table(nodes.withColumn("score", F.lit(1.0 / n)), "pr-scores")
-    done = 0
-    for done in range(1, max_iterations + 1):
-        flows = links.join(scores.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (F.col("score") / F.col("degree") * F.col("mult")).alias("flow"))
-        # Scores and flows meet in one group, so a round has one shuffle of flows and none for a second join.
-        met = flows.select("node", "flow", F.lit(None).cast("double").alias("before")).unionByName(scores.select("node", F.lit(0.0).alias("flow"), F.col("score").alias("before")))
-        lost = F.lit(0.0)
-        if redistribute_dangling:
-            kept = flows.agg(F.sum("flow").alias("kept")).first()["kept"] or 0.0
-            lost = F.lit(d * (scores.agg(F.sum("score").alias("s")).first()["s"] - kept) / n)
-        following = write_table(
-            met.groupBy("node").agg(F.sum("flow").alias("flow"), F.max("before").alias("before")).select("node", (base + lost + F.lit(d) * F.col("flow")).alias("score"), "before"),
-            "pr-scores",
-        )
-        change = following.agg(F.sum(F.abs(F.col("score") - F.col("before"))).alias("change")).first()["change"]
-        drop(scores)
-        scores = following
-        if change < convergence_threshold:
-            break
-    drop(links, nodes)
-    return scores.select("node", "score", F.lit(done).cast("int").alias("iterations"))
+    the change, so that the test for convergence reads no more than that, and
+    graphs that have converged leave the loop. With at most ``local_edges``
+    merged edges (counted), the iterations run in arrays of one task instead."""
+    scopes = Scopes(df, partition_by)
+    scores = _scores(scopes, df, from_col, to_col, damping_factor, max_iterations, convergence_threshold, redistribute_dangling, local_edges)
+    return scopes.named_rows(scores, scopes.of(F.col("node")), scopes.bare(F.col("node")).alias("node"), F.col("score"), F.col("iterations"))
 
 
 def page_rank(
-    df: DataFrame, from_col: str, to_col: str, damping_factor: float = 0.85, max_iterations: int = 100, convergence_threshold: float = 1e-6
+    df: DataFrame,
+    from_col: str | Column,
+    to_col: str | Column,
+    damping_factor: float = 0.85,
+    max_iterations: int = 100,
+    convergence_threshold: float = 1e-6,
+    partition_by: Sequence[str | Column] = (),
+    local_edges: int = RANKED_EDGES,
 ) -> DataFrame:
     """All columns of ``df`` and ``pagerank``: the score of the row's ``from``
     node (see ``page_rank_nodes``).
@@ -86,8 +118,10 @@ def page_rank(
     are kept, repeated ones too; an existing column ``pagerank`` (in any case)
     is replaced, and other columns may have any names. An empty table gives an
     empty table."""
-    scores = page_rank_nodes(df, from_col, to_col, damping_factor, max_iterations, convergence_threshold)
-    node, score = free_names(df.columns, "node", "score")
+    scopes = Scopes(df, partition_by)
+    scores = _scores(scopes, df, from_col, to_col, damping_factor, max_iterations, convergence_threshold, False, local_edges)
+    start, node, score = free_names(df.columns, "start", "node", "score")
     kept = [c for c in df.columns if c.lower() != "pagerank"]
-    joined = df.join(scores.select(F.col("node").alias(node), F.col("score").alias(score)), named(from_col).cast("string") == F.col(node), "left")
+    placed = df.withColumn(start, scopes.inside(named(from_col).cast("string")))
+    joined = placed.join(scores.select(F.col("node").alias(node), F.col("score").alias(score)), F.col(start) == F.col(node), "left")
     return joined.select(*(named(c) for c in kept), F.coalesce(F.col(score), F.lit(0.0)).alias("pagerank"))
