@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Distinct keys that a split's accumulators may hold before they are sent on.
 SPLIT_KEYS = 1_000_000
+#: Estimated bytes of the columns for each accumulator block.
+BLOCK_BYTES = 64 << 20
 
 
 class _Accumulators:
@@ -104,6 +106,12 @@ def _block_sums(sides: int):
     return run
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """By the optimiser, without running anything; 0 where it can't tell (it then says more than any table has)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return size if size < 1 << 60 else 0
+
+
 def counts_per_key(df: DataFrame, columns: Sequence[Column], names: Sequence[str], key: str = "key", blocks: int | None = None, split_keys: int = SPLIT_KEYS) -> DataFrame:
     """``(key, names...)``: for every value of the string columns ``columns``,
     its number of rows in each of them.
@@ -113,12 +121,14 @@ def counts_per_key(df: DataFrame, columns: Sequence[Column], names: Sequence[str
     only ``columns`` are read. No task depends on how often a key occurs: a
     split's work is its rows, a block's work is its distinct keys times the
     splits that have them. ``blocks``: the number of accumulator blocks, by
-    default the session's shuffle partitions."""
+    default the session's shuffle partitions, or one for each ``BLOCK_BYTES`` of
+    the columns by the optimiser's estimate if that is more, so that a block's
+    keys fit a task whatever their number."""
     sides = len(columns)
     schema = "key string, " + ", ".join(f"n{i} bigint" for i in range(sides))
     picked = df.select(*(c.cast("string").alias(f"c{i}") for i, c in enumerate(columns)))
     entries = picked.mapInArrow(_split_counts(sides, split_keys), schema)
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _estimated_bytes(picked) // BLOCK_BYTES)
     summed = entries.repartition(n, "key").mapInArrow(_block_sums(sides), schema)
     return summed.select(F.col("key").alias(key), *(F.col(f"n{i}").alias(name) for i, name in enumerate(names)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise.functions import clean_value
@@ -64,6 +64,28 @@ def edges_page_rank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rank_nodes(read_table(spark, sf_dir, "edges"), "from", "to").select("node", F.round("score", ROUND).alias("score"), "iterations")
 
 
+def edges_page_rank_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the loop over tables that larger graphs take."""
+    return page_rank_nodes(read_table(spark, sf_dir, "edges"), "from", "to", local_edges=0).select("node", F.round("score", ROUND).alias("score"), "iterations")
+
+
+def edges_page_rank_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month of loading is a graph of its own, with its own end."""
+    month = F.date_format("loaded_at", "yyyy-MM")
+    scores = page_rank_nodes(read_table(spark, sf_dir, "edges"), "from", "to", local_edges=0, partition_by=[month])
+    return scores.select(F.col("key0").alias("month"), "node", F.round("score", ROUND).alias("score"), "iterations")
+
+
+def _long() -> Column:
+    """Routes of at least this weight, and all others, as two graphs."""
+    return F.coalesce(F.col("weight") >= 5, F.lit(False))
+
+
+def routes_page_rank_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = page_rank_nodes(read_table(spark, sf_dir, "routes"), "from", "to", partition_by=[_long()])
+    return scores.select(F.col("key0").alias("long"), "node", F.round("score", ROUND).alias("score"), "iterations")
+
+
 def routes_paths_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calculate_shortest_path(read_table(spark, sf_dir, "routes"), "from", "to", "weight")
 
@@ -72,9 +94,23 @@ def routes_paths_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calculate_shortest_path(read_table(spark, sf_dir, "routes"), "from", "to", "weight", directed=True)
 
 
-def _centrality(spark: SparkSession, sf_dir: str, normalized: bool, directed: bool) -> DataFrame:
-    found = betweenness_centrality(read_table(spark, sf_dir, "routes"), "from", "to", normalized, directed)
-    return found.select("node", F.round("centrality", ROUND).alias("centrality"))
+def routes_paths_undirected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the loop over tables that larger graphs take."""
+    return calculate_shortest_path(read_table(spark, sf_dir, "routes"), "from", "to", "weight", local_edges=0)
+
+
+def routes_paths_directed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calculate_shortest_path(read_table(spark, sf_dir, "routes"), "from", "to", "weight", directed=True, local_edges=0)
+
+
+def routes_paths_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = calculate_shortest_path(read_table(spark, sf_dir, "routes"), "from", "to", "weight", directed=True, partition_by=[_long()])
+    return found.withColumnRenamed("key0", "long")
+
+
+def _centrality(spark: SparkSession, sf_dir: str, normalized: bool, directed: bool, **options) -> DataFrame:
+    found = betweenness_centrality(read_table(spark, sf_dir, "routes"), "from", "to", normalized, directed, **options)
+    return found.withColumn("centrality", F.round("centrality", ROUND))
 
 
 def routes_betweenness_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +125,22 @@ def routes_betweenness_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _centrality(spark, sf_dir, False, True)
 
 
-def _rounded(rules: DataFrame) -> DataFrame:
-    scores = F.transform("confidence_scores", lambda x: F.round(x, ROUND))
-    return rules.select("item", F.round("support", 6).alias("support"), F.round("lift_score", ROUND).alias("lift_score"), "pattern", F.array_join("consequents", "|").alias("consequents"), F.array_join(F.transform(scores, lambda x: F.format_string("%.9f", x)), "|").alias("confidence_scores"))
+def routes_betweenness_undirected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the loop over tables that larger graphs take."""
+    return _centrality(spark, sf_dir, True, False, local_edges=0)
+
+
+def routes_betweenness_directed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _centrality(spark, sf_dir, True, True, local_edges=0)
+
+
+def routes_betweenness_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _centrality(spark, sf_dir, True, False, partition_by=[_long()]).withColumnRenamed("key0", "long")
+
+
+def _rounded(rules: DataFrame, *keys: Column, digits: int = ROUND) -> DataFrame:
+    scores = F.transform("confidence_scores", lambda x: F.format_string("%.9f", F.round(x, ROUND)))
+    return rules.select(*keys, "item", F.round("support", 6).alias("support"), F.round("lift_score", digits).alias("lift_score"), "pattern", F.array_join("consequents", "|").alias("consequents"), F.array_join(scores, "|").alias("confidence_scores"))
 
 
 def transactions_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,17 +148,39 @@ def transactions_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph_association_rules(read_table(spark, sf_dir, "transactions"), "transaction_id", "item_id", min_support=0.005, min_confidence=0.005))
 
 
+def transactions_rules_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph_association_rules(read_table(spark, sf_dir, "transactions"), "transaction_id", "item_id"))
+
+
+def _weighted(rows: DataFrame, min_support: float = 0.005, **options) -> DataFrame:
+    """Weighted by frequency; items numbered by first appearance."""
+    return graph_association_rules(rows, "transaction_id", "item_id", "frequency", min_support=min_support, min_confidence=0.005, weighted=True, order_by="pos", **options)
+
+
+def _with_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "transactions").filter("frequency is null or not isnan(frequency)")
+
+
 def transactions_rules_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted by frequency; items numbered by first appearance. NaN frequencies make an item's sum NaN, so they are left out first."""
-    rows = read_table(spark, sf_dir, "transactions").filter("frequency is null or not isnan(frequency)")
-    rules = graph_association_rules(rows, "transaction_id", "item_id", "frequency", min_support=0.005, min_confidence=0.005, weighted=True, order_by="pos")
-    return _rounded(rules)
+    """Of the rows whose frequency isn't NaN."""
+    return _rounded(_weighted(_with_number(spark, sf_dir)))
+
+
+def transactions_rules_weighted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all rows: a NaN frequency makes its item's sum NaN, which isn't frequent."""
+    return _rounded(_weighted(read_table(spark, sf_dir, "transactions"), 0.0001))
+
+
+def transactions_rules_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month of arrival is a set of transactions of its own."""
+    rules = _weighted(_with_number(spark, sf_dir), partition_by=[F.date_format("ingested_at", "yyyy-MM")])
+    return _rounded(rules, F.col("key0").alias("month"))
 
 
 def lineitem_rules_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of an order; orders of more than eight lines give no entries."""
     rules = graph_association_rules(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", min_support=0.0001, min_confidence=0.0001, max_itemset_size=8)
-    return rules.select("item", "support", F.round("lift_score", 6).alias("lift_score"), "pattern")
+    return _rounded(rules, digits=6)
 
 
 def _node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +201,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p3_found, p3_counts, edges_graph_solver, edges_super_merger, edges_super_merger_weighted, edges_super_merger_by_day,
-        routes_page_rank, routes_page_rank_nodes, edges_page_rank_nodes, edges_page_rank_converged, routes_paths_undirected, routes_paths_directed,
-        routes_betweenness_undirected, routes_betweenness_directed, routes_betweenness_raw, transactions_rules, transactions_rules_weighted, lineitem_rules_capped,
+        routes_page_rank, routes_page_rank_nodes, routes_page_rank_by_length, edges_page_rank_nodes, edges_page_rank_converged, edges_page_rank_tables, edges_page_rank_by_month,
+        routes_paths_undirected, routes_paths_directed, routes_paths_undirected_tables, routes_paths_directed_tables, routes_paths_by_length,
+        routes_betweenness_undirected, routes_betweenness_directed, routes_betweenness_raw, routes_betweenness_undirected_tables, routes_betweenness_directed_tables, routes_betweenness_by_length,
+        transactions_rules, transactions_rules_defaults, transactions_rules_weighted, transactions_rules_weighted_all, transactions_rules_by_month, lineitem_rules_capped,
     )
 }

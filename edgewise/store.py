@@ -121,7 +121,3 @@ def drop(*tables: DataFrame | None) -> None:
     for table in tables:
         if table is not None and (path := path_of(table)):
             delete(table.sparkSession, path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Nothing: every write cleans up after itself."""

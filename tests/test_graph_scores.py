@@ -154,3 +154,71 @@ def test_betweenness_small_and_empty(spark):
     assert all(math.isnan(x) for x in central(edges(spark, ["A-B", (None, "Q")])).values())
     assert central(edges(spark, [])) == {}
     assert central(edges(spark, ["A-A", "A-B", "B-C"]))["B"] == 1
+
+
+KEYED = [("x", "A", "B", 1.0), ("x", "B", "C", 2.0), ("y|1", "A", "B", 5.0), ("y|1", "B", "A", 0.5), (None, "A|", "Z", 1.0), ("x", "C", None, 1.0), ("x", "C", "A", 7.0), ("y|1", "Q", "A", 2.0)]
+
+
+@pytest.fixture(scope="module")
+def keyed(spark):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(KEYED)], "pos bigint, k string, `from` string, `to` string, w double")
+
+
+def rows_of(*frames):
+    """All rows, sorted; numbers to nine digits."""
+    plain = lambda v: f"{v:.9g}" if isinstance(v, float) else repr(v)
+    return sorted([plain(v) for v in r] for df in frames for r in df.collect())
+
+
+@LOCAL
+def test_scores_of_each_key(spark, keyed, local):
+    """Each key's graph as if it were alone, whatever the keys and names hold."""
+    few = {"local_edges": local, "max_iterations": 3, "convergence_threshold": 0.3}
+    same = [
+        lambda df, **kw: calculate_shortest_path(df, "from", "to", "w", directed=True, local_edges=local, **kw),
+        lambda df, **kw: page_rank_nodes(df, "from", "to", redistribute_dangling=True, **few, **kw),
+        lambda df, **kw: betweenness_centrality(df, "from", "to", local_edges=local, **kw),
+    ]
+    for run in same:
+        found = run(keyed, partition_by=["k"])
+        alone = [run(keyed.filter(keyed["k"].eqNullSafe(k))).selectExpr(f"{k!r} as k" if k else "null as k", "*") for k in ("x", "y|1", None)]
+        assert found.columns == alone[0].columns
+        assert rows_of(found) == rows_of(*alone)
+
+
+def test_rows_of_each_key_have_their_score(spark, keyed):
+    alone = {r["pos"]: r["pagerank"] for k in ("x", "y|1", None) for r in page_rank(keyed.filter(keyed["k"].eqNullSafe(k)), "from", "to").collect()}
+    found = page_rank(keyed, "from", "to", partition_by=["k"])
+    assert found.columns == ["pos", "k", "from", "to", "w", "pagerank"]
+    assert {r["pos"]: r["pagerank"] for r in found.collect()} == pytest.approx(alone)
+
+
+def test_expressions_of_struct_fields(spark, keyed):
+    df = keyed.selectExpr("named_struct('f', lower(`from`), 't', lower(`to`)) as e", "w", "k")
+    ends = (spark_upper("e.f"), spark_upper("e.t"))
+    assert rows_of(calculate_shortest_path(df, *ends, df["w"] * 2, partition_by=[df["k"]]).drop("key0", "distance")) == rows_of(calculate_shortest_path(keyed, "from", "to", "w", partition_by=["k"]).drop("k", "distance"))
+    assert rows_of(page_rank_nodes(df, *ends)) == rows_of(page_rank_nodes(keyed, "from", "to"))
+    assert rows_of(betweenness_centrality(df, *ends)) == rows_of(betweenness_centrality(keyed, "from", "to"))
+
+
+def spark_upper(column):
+    from pyspark.sql import functions as F
+
+    return F.upper(column)
+
+
+def test_batches_of_sources(spark):
+    df = edges(spark, README)
+    one, many = ({r["node"]: r["centrality"] for r in betweenness_centrality(df, "from", "to", batches=n, local_edges=0).collect()} for n in (1, 3))
+    assert one == pytest.approx(many)
+
+
+def test_many_pairs_leave_the_arrays(spark, monkeypatch):
+    """A graph of few edges whose result would be large goes by tables."""
+    from edgewise.operators import paths as module
+
+    df = edges(spark, ["A-B", "B-C", "C-D"], [1.0, 1.0, 1.0])
+    expected = paths(df)
+    monkeypatch.setattr(module, "LOCAL_PAIRS", 3)
+    monkeypatch.setattr(module, "from_every_node", None)
+    assert paths(df) == expected

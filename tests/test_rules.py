@@ -86,3 +86,15 @@ def test_longer_pattern_chain(spark):
     found = rules(table(spark, rows), min_support=0.01, min_confidence=0.01)
     assert {r["pattern"] for i, r in found.items() if i != "z"} == {1}
     assert found["z"]["pattern"] == 2
+
+
+def test_each_key_has_its_own_rules(spark):
+    rows = [(i, "xyz"[i % 3] if i % 7 else None, i % 5, "ABCD"[i * i % 4], float(i % 3 + 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "pos bigint, k string, t bigint, i string, f double")
+    run = lambda d, **kw: graph_association_rules(d, "t", F.lower("i"), "f", 0.01, 0.01, weighted=True, order_by="pos", **kw)
+    found = {(r["k"], r["item"]): r for r in run(df, partition_by=["k"]).collect()}
+    alone = {(k, r["item"]): r for k in ("x", "y", "z", None) for r in run(df.filter(F.col("k").eqNullSafe(k))).collect()}
+    assert set(found) == set(alone)
+    for key, r in alone.items():
+        assert [found[key][c] for c in ("support", "pattern", "consequents")] == [r[c] for c in ("support", "pattern", "consequents")]
+        assert found[key]["lift_score"] == pytest.approx(r["lift_score"])
