@@ -108,7 +108,7 @@ def _block_sums(sides: int):
 
 def _estimated_bytes(df: DataFrame) -> int:
     """By the optimiser, without running anything; 0 where it can't tell (it then says more than any table has)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
 
 
