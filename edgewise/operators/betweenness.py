@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.model import Scopes, edge_rows, multiplicities, node_list
+from edgewise.operators.components import NodeIds
 from edgewise.operators.small_graphs import LOCAL_EDGES, dependencies, from_every_node
 from edgewise.store import append_table, drop, new_path, write_table
 
@@ -40,7 +41,7 @@ def _source_batch(links: DataFrame, sources: DataFrame) -> DataFrame:
         depth += 1
     if not depth:
         drop(seen)
-        return write_table(spark.createDataFrame([], "node string, part double"), "bc-parts")
+        return write_table(spark.createDataFrame([], "node bigint, part double"), "bc-parts")
     deepest = seen.filter(F.col("level") == depth).select("s", "node", "sigma", F.lit(0.0).alias("delta"), "level")
     parts = append_table(deepest, parts_path)
     for level in range(depth - 1, 0, -1):
@@ -87,12 +88,16 @@ def betweenness_centrality(
     drop(edges)
     merged = links.count()
     if 0 < merged <= local_edges:
-        parts = [from_every_node(links, merged, node_list(links).count(), dependencies, ["src", "dst", "mult"], "node string, part double")]
-    else:
+        total = from_every_node(links, merged, node_list(links).count(), dependencies, ["src", "dst", "mult"], "node string, part double").groupBy("node").agg(F.sum("part").alias("part"))
+    else:  # by ids; names come back at the end
+        ids = NodeIds.of(nodes)
+        placed = ids.add(nodes, id="node")
+        coded = write_table(ids.add(links, s="src", t="dst").select(F.col("s").alias("src"), F.col("t").alias("dst"), "mult"), "bc-coded")
         cut = batches or max(1, -(-(nodes.count() ** 2) // STATE_ROWS))
-        parts = [_source_batch(links, nodes.filter(F.pmod(F.xxhash64("node"), F.lit(cut)) == k)) for k in range(cut)]
-        drop(links)
-    total = reduce(DataFrame.unionAll, parts).groupBy("node").agg(F.sum("part").alias("part"))
+        parts = [_source_batch(coded, placed.filter(F.pmod(F.xxhash64("id"), F.lit(cut)) == k).select(F.col("id").alias("node"))) for k in range(cut)]
+        drop(links, coded)
+        sums = reduce(DataFrame.unionAll, parts).groupBy("node").agg(F.sum("part").alias("part")).withColumnRenamed("node", "id")
+        total = placed.join(sums, "id").select("node", "part")
     found = nodes.join(total, "node", "left").withColumn("graph", scopes.of(F.col("node")))
     value = F.coalesce("part", F.lit(0.0)) * F.lit(1.0 if directed else 0.5)
     if normalized:

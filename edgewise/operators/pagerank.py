@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from edgewise.functions.naming import free_names
 from edgewise.model import Scopes, edge_rows, multiplicities, named, node_list
+from edgewise.operators.components import NodeIds
 from edgewise.operators.small_graphs import RANKED_EDGES, page_rank_arrays
 from edgewise.store import append_table, drop, new_path, write_table
 
@@ -22,26 +23,35 @@ def _scores(
     if merged.count() <= local_edges:
         run = page_rank_arrays(d, max_iterations, convergence_threshold, redistribute_dangling, bool(scopes.keys))
         return merged.repartition(1).mapInArrow(run, "node string, score double, iterations int")
-    links = write_table(merged.join(merged.groupBy("src").agg(F.sum("mult").alias("degree")), "src"), "pr-links")
-    graph = scopes.of(F.col("node"))
-    nodes = node_list(merged).withColumn("graph", graph)
-    sizes = nodes.groupBy("graph").agg(F.count("*").alias("n"))
-    scores = write_table(nodes.join(sizes, "graph").select("node", "graph", "n", (F.lit(1.0) / F.col("n")).alias("score")), "pr-scores")
+    # The rounds run on ids; names come back at the end.
+    nodes = write_table(node_list(merged), "pr-nodes")
+    ids = NodeIds.of(nodes)
+    degrees = merged.groupBy("src").agg(F.sum("mult").alias("degree"))
+    links = write_table(ids.add(merged.join(degrees, "src"), s="src", t="dst").select("s", "t", (F.col("mult") / F.col("degree")).alias("share")), "pr-links")
+    placed = ids.add(nodes, id="node")
+    graph = scopes.of(F.col("node")) if scopes.keys else F.lit("")
+    sized = placed.select("id", graph.alias("graph"))
+    sizes = sized.groupBy("graph").agg(F.count("*").alias("n"))
+    scores = write_table(sized.join(sizes, "graph").select("id", "graph", "n", (F.lit(1.0) / F.col("n")).alias("score")), "pr-scores")
     drop(merged)
     # Graphs that have converged, with the rounds they took.
     path, ended, done = new_path(df.sparkSession, "pr-ended"), None, 0
     for done in range(1, max_iterations + 1):
-        flows = links.join(scores.select(F.col("node").alias("src"), "score"), "src").select(F.col("dst").alias("node"), (F.col("score") / F.col("degree") * F.col("mult")).alias("flow"))
+        flows = links.join(scores.select(F.col("id").alias("s"), "score"), "s").select(F.col("t").alias("id"), (F.col("score") * F.col("share")).alias("flow"))
         # Scores and flows meet in one group, so a round has one shuffle of flows and none for a second join.
-        met = flows.select("node", "flow", F.lit(None).cast("double").alias("before"), F.lit(None).cast("bigint").alias("n")).unionAll(scores.select("node", F.lit(0.0).alias("flow"), F.col("score").alias("before"), "n"))
-        summed = met.groupBy("node").agg(F.sum("flow").alias("flow"), F.max("before").alias("before"), F.max("n").alias("n")).withColumn("graph", graph)
+        own = [F.lit(0.0).alias("flow"), F.col("score").alias("before"), "n", "graph"]
+        none = [F.lit(None).cast(kind).alias(c) for c, kind in (("before", "double"), ("n", "bigint"), ("graph", "string"))]
+        met = flows.select("id", "flow", *none[: 2 + bool(scopes.keys)]).unionAll(scores.select("id", *own[: 3 + bool(scopes.keys)]))
+        facts = [F.sum("flow").alias("flow"), F.max("before").alias("before"), F.max("n").alias("n"), F.max("graph").alias("graph")]
+        summed = met.groupBy("id").agg(*facts[: 3 + bool(scopes.keys)])
+        summed = summed if scopes.keys else summed.withColumn("graph", F.lit(""))
         lost = F.lit(0.0)
         if redistribute_dangling:
             # What a graph's nodes had and didn't pass on.
             kept = summed.groupBy("graph").agg((F.sum("before") - F.sum("flow")).alias("lost"))
             summed, lost = summed.join(kept, "graph"), F.lit(d) * F.col("lost") / F.col("n")
         score = F.lit(1.0 - d) / F.col("n") + lost + F.lit(d) * F.col("flow")
-        following = write_table(summed.select("node", "graph", "n", score.alias("score"), "before"), "pr-scores")
+        following = write_table(summed.select("id", "graph", "n", score.alias("score"), "before"), "pr-scores")
         changes = following.groupBy("graph").agg(F.sum(F.abs(F.col("score") - F.col("before"))).alias("change"))
         drop(scores)
         scores = following.drop("before")
@@ -53,7 +63,7 @@ def _scores(
         settled = write_table(changes.select("graph", (F.col("change") < F.lit(convergence_threshold)).alias("settled")), "pr-changes")
         left = settled.filter("not settled")
         if not settled.filter("settled").isEmpty():
-            ended = append_table(scores.join(settled.filter("settled").select("graph"), "graph").select("node", "score", F.lit(done).alias("iterations")), path)
+            ended = append_table(scores.join(settled.filter("settled").select("graph"), "graph").select("id", "score", F.lit(done).alias("iterations")), path)
             active = write_table(scores.join(left.select("graph"), "graph"), "pr-scores")
             drop(following)
             following = active
@@ -62,8 +72,8 @@ def _scores(
         if over:
             break
     drop(links)
-    rest = scores.select("node", "score", F.lit(done).cast("int").alias("iterations"))
-    return rest if ended is None else rest.unionAll(ended)
+    rest = scores.select("id", "score", F.lit(done).cast("int").alias("iterations"))
+    return placed.join(rest if ended is None else rest.unionAll(ended), "id").select("node", "score", "iterations")
 
 
 def page_rank_nodes(

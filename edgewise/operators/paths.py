@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.model import MILLI, Scopes, checked_weight, edge_rows, named, node_list
+from edgewise.operators.components import NodeIds
 from edgewise.operators.small_graphs import LOCAL_EDGES, LOCAL_PAIRS, from_every_node, shortest_paths
 from edgewise.store import append_table, drop, new_path, write_table
 
@@ -55,9 +56,14 @@ def calculate_shortest_path(
     if nodes and nodes**2 <= LOCAL_PAIRS and size["longest"] < (1 << 62) // (2 * size["n"]):
         found = from_every_node(edges, size["n"], nodes, shortest_paths(directed), ["src", "dst", "w"], "src string, dst string, cost bigint")
         return _named(scopes, found, directed and duplicate_pairs)
-    step = edges.select(F.col("src").alias("mid"), F.col("dst").alias("end"), "w")
+    # The rounds run on ids; names come back at the end.
+    names = write_table(node_list(edges), "sp-nodes")
+    ids = NodeIds.of(names)
+    coded = write_table(ids.add(edges, s="src", t="dst").select(F.col("s").alias("src"), F.col("t").alias("dst"), "w"), "sp-coded")
+    drop(edges)
+    step = coded.select(F.col("src").alias("mid"), F.col("dst").alias("end"), "w")
     path = new_path(df.sparkSession, "sp-known")
-    known = append_table(edges.select("src", "dst", F.col("w").alias("cost"), F.lit(0).alias("round")), path)
+    known = append_table(coded.select("src", "dst", F.col("w").alias("cost"), F.lit(0).alias("round")), path)
     for k in range(max_rounds):
         moving = known.filter(F.col("round") == k).select("src", F.col("dst").alias("mid"), "cost")
         longer = moving.join(step, "mid").filter("src <> end").groupBy("src", F.col("end").alias("dst")).agg(F.min(F.col("cost") + F.col("w")).alias("cost"))
@@ -68,9 +74,14 @@ def calculate_shortest_path(
         known = append_table(improved.select("src", "dst", F.col("try").alias("cost"), F.lit(k + 1).alias("round")), path)
         if known.filter(F.col("round") == k + 1).isEmpty():
             break
-    drop(edges)
-    pairs = known if directed else known.filter("src < dst")
-    return _named(scopes, pairs.groupBy("src", "dst").agg(F.min("cost").alias("cost")), directed and duplicate_pairs)
+    drop(coded)
+    pairs = (known if directed else known.filter("src < dst")).groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+    placed = ids.add(names, id="node")
+    at = lambda end: placed.select(F.col("id").alias(end), F.col("node").alias(f"name_{end}"))
+    spelled = pairs.join(at("src"), "src").join(at("dst"), "dst")
+    # An undirected pair has the smaller name first, whatever its ids.
+    first, second = (F.col("name_src"), F.col("name_dst")) if directed else (F.least("name_src", "name_dst"), F.greatest("name_src", "name_dst"))
+    return _named(scopes, spelled.select(first.alias("src"), second.alias("dst"), "cost"), directed and duplicate_pairs)
 
 
 def _named(scopes: Scopes, pairs: DataFrame, twice: bool) -> DataFrame:

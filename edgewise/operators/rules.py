@@ -106,7 +106,9 @@ def graph_association_rules(
     entries = write_table(scored.join(items.select(F.col("id").alias("c_id"), F.col("item").alias("consequent")), "c_id"), "rules-entries")
     drop(eligible)
     lift = entries.groupBy("id").agg(F.sum(F.col("confidence") * F.col("times")).alias("lift_score"))
-    roots = reaching_minimum(items, entries.select(F.col("id").alias("src"), F.col("c_id").alias("dst")).distinct())
+    links = write_table(entries.select(F.col("id").alias("src"), F.col("c_id").alias("dst")).distinct(), "rules-links")
+    roots = reaching_minimum(items, links)
+    drop(links)
     patterns = number_rows(roots.join(items.select("id", *g), "id").select(*g, "root").distinct(), g, "root", "pattern").drop(*g)
     ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("confidence"), "consequent"))).filter(F.col("rank") <= LISTED)
     # Five different entries are at least five entries; each is listed as often as it occurs.
