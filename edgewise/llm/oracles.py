@@ -70,6 +70,7 @@ ORACLES: dict[str, str] = {
     "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) + 1 > 8192",
     "p7_pieces": "SELECT doc_id, (octet_length(encode(text)) // 8192 + 1)::BIGINT AS pieces, (octet_length(encode(text)) + 1)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL",
     "p7_use_holds": "SELECT sum(octet_length(encode(text)) + 1)::BIGINT AS tokens, true AS none_overfull, true AS nearly_least FROM documents WHERE text IS NOT NULL",
+    "p9_makeup_holds": "SELECT subject, true AS quarter_at_least, true AS once, true AS half_of_labels, true AS four_at_most, true AS whole_at_most FROM subject_areas",
     "p8_found": _SHORT.format(columns="source") + f" WHERE {_IS_SHORT}",
     "p8_report_holds": _SHORT.format(columns=f"source, documents, size, {_IS_SHORT} AS short, true AS copies_hold, true AS cap_holds, true AS shares_hold"),
     "p8_rows_hold": _SHORT.format(columns="source, true AS report_holds, true AS cap_holds, true AS all_used"),

@@ -16,6 +16,7 @@ from edgewise.llm.p7_pack import container_use, fill_containers
 from edgewise.llm.p8_mix import mix_sources
 from edgewise.llm.p9_subjects import document_subjects
 from edgewise.sources import read_table
+from edgewise.store import write_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +146,23 @@ def p9_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.avg("share").alias("mean_share"))
 
 
+def p9_makeup_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each subject: whether its shares are a quarter to the whole of a
+    document, no document has it twice, and none has more than four subjects;
+    and of the readers' labels, whether at least half are found (fewer than 30
+    labels tell nothing)."""
+    found = write_table(_subjects(spark, sf_dir), "subjects")
+    labels = read_table(spark, sf_dir, "subject_labels").select("doc_id", F.lower(F.btrim("subject")).alias("label")).distinct()
+    agreed = found.select("doc_id", F.lower("subject").alias("label")).distinct().withColumn("hit", F.lit(1))
+    half = labels.join(agreed, ["doc_id", "label"], "left").agg(((F.count("hit") * 2 >= F.count("*")) | (F.count("*") < 30)).alias("half_of_labels"))
+    many = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("share").alias("sum")).agg((F.coalesce(F.max("n"), F.lit(0)) <= 4).alias("four_at_most"), (F.coalesce(F.max("sum"), F.lit(0)) <= 1 + 1e-9).alias("whole_at_most"))
+    each = found.groupBy("subject").agg(F.min("share").alias("least"), F.count("*").alias("rows"), F.countDistinct("doc_id").alias("documents"))
+    areas = read_table(spark, sf_dir, "subject_areas").select("subject").join(each, "subject", "left")
+    kept = areas.select("subject", (F.coalesce("least", F.lit(1.0)) >= 0.25).alias("quarter_at_least"), F.coalesce(F.col("rows") == F.col("documents"), F.lit(True)).alias("once"))
+    return kept.crossJoin(F.broadcast(half)).crossJoin(F.broadcast(many))  # one row each
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_group_sizes, p2_found, p2_top_items, p4_found, p4_best_scores, p5_found, p5_late_rows, p6_found, p6_lift, p7_found, p7_pieces, p7_use, p7_use_holds, p8_found, p8_report, p8_report_holds, p8_rows, p8_rows_hold, p9_found, p9_makeup)
+    for f in (p1_found, p1_group_sizes, p2_found, p2_top_items, p4_found, p4_best_scores, p5_found, p5_late_rows, p6_found, p6_lift, p7_found, p7_pieces, p7_use, p7_use_holds, p8_found, p8_report, p8_report_holds, p8_rows, p8_rows_hold, p9_found, p9_makeup, p9_makeup_holds)
 }

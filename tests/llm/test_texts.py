@@ -11,7 +11,7 @@ from conftest import DATA
 from edgewise.llm.main_text import repair, sentences
 from edgewise.llm.p7_pack import container_use, fill, fill_containers, pack
 from edgewise.llm.p8_mix import mix_sources
-from edgewise.llm.p9_subjects import document_subjects
+from edgewise.llm.p9_subjects import LeafTerms, described_terms, document_subjects, leaf_families
 from edgewise.llm.sizes import bpe_tokens, byte_tokens
 from edgewise.store import path_of
 
@@ -146,6 +146,16 @@ def test_mix_of_many_documents_is_exact(spark, total):
     assert mix_sources(documents, targets, size=F.lit(1), total=total).report.first()["copies"] == total
 
 
+def test_mix_of_a_reachable_total(spark):
+    """Every source that has documents gives its share."""
+    documents = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 50, "small").otherwise("big").alias("source"))
+    targets = spark.createDataFrame([("small", 0.25, 4), ("big", 0.5, 1), ("absent", 0.25, 1)], "source string, target_share double, max_repeats int")
+    report = {r["source"]: r for r in mix_sources(documents, targets, size=F.lit(10), total="reachable").report.collect()}
+    assert {s: r["reached"] for s, r in report.items()} == {"small": 2000, "big": 4000, "absent": 0}
+    assert not report["small"]["short"] and not report["big"]["short"]
+    assert mix_sources(documents.limit(0), targets, size=F.lit(1), total="reachable").rows.count() == 0
+
+
 def test_mix_of_nothing(spark):
     documents = spark.createDataFrame([], "doc_id bigint, source string, text string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
@@ -226,6 +236,52 @@ def test_subjects(spark, corpus):
     assert found[None] == found[0]
 
 
+def test_subjects_by_a_tree_of_a_sample(spark, corpus):
+    frame, labels, areas, truth = corpus
+    found = defaultdict(set)
+    for r in document_subjects(frame, labels, areas, leaves=16, fit_documents=150).collect():
+        found[r["doc_id"]].add(r["subject"])
+    assert sum(found[i] == truth[i] for i in truth) >= 0.95 * len(truth)
+
+
+def test_held_out_labels(spark):
+    """With the labels of half of the labelled documents, the subjects of the other half: of the middle size nine in ten."""
+    table = lambda name: spark.read.parquet(f"{DATA}/sf0.1/{name}.parquet")
+    labels = table("subject_labels").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    told, kept = labels.filter("half = 0").drop("half"), labels.filter("half = 1")
+    found = {(r["doc_id"], r["subject"]) for r in document_subjects(table("documents"), told, table("subject_areas")).join(kept.select("doc_id").distinct(), "doc_id").collect()}
+    expected = {(r["doc_id"], r["subject"].strip().lower()) for r in kept.collect()}
+    assert len(found & expected) >= 0.9 * len(expected)
+    assert len(found & expected) >= 0.9 * len(found)
+
+
+def test_described_terms():
+    found = described_terms(["contract", "vertrag", "contrat", "con", "match", "mat", "courtyard"], ["courts, contracts", "matches"])
+    assert found.tolist() == [[1, 0, 1, 0, 0, 0, 0], [0, 0, 0, 0, 1, 0, 0]]
+
+
+def test_sparse_counts_of_leaves():
+    rng = np.random.default_rng(3)
+    dense = rng.integers(0, 3, (5, 40)) * (rng.random((5, 40)) < 0.4)
+    leaf, term = np.nonzero(dense)
+    order = rng.permutation(len(leaf))
+    sizes = np.array([4, 5, 6, 7, 0])
+    dense[4] = 0
+    keep = order[leaf[order] < 4]
+    whole = np.arange(4)
+    table = LeafTerms(np.r_[leaf[keep], whole], np.r_[term[keep], np.full(4, 40)], np.r_[dense[leaf[keep], term[keep]], sizes[:4]].astype(float), 5, 40)
+    assert (table.sizes == sizes).all()
+    assert (table.total() == dense.sum(axis=0)).all()
+    assert (table.total(np.array([True, False, True, False, False])) == dense[[0, 2]].sum(axis=0)).all()
+    at, count = table.own(3)
+    assert (dense[3, at] == count).all() and count.sum() == dense[3].sum()
+    rates = dense[:4] / sizes[:4, None]
+    unit = rates / np.linalg.norm(rates, axis=1, keepdims=True)
+    family = leaf_families(table, block=7)
+    assert all((family[i] == family[j]) >= (unit[i] @ unit[j] >= 0.5) for i in range(4) for j in range(4))
+    assert (family == family[4]).sum() == 1
+
+
 def test_subject_of_few_documents(spark, corpus):
     """The words of a subject in less than 1/250 of the documents are evidence too."""
     frame, labels, areas, _ = corpus
