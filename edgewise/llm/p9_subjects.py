@@ -45,8 +45,8 @@ from edgewise.store import drop, write_table
 BROADCAST_LABELS = 500_000
 #: Share of every subject in a leaf, whatever the leaf's terms say.
 FLOOR = 0.02
-#: Documents that the tree of leaves is fitted on, at most, and those of one task; the least documents of a leaf that is divided.
-FIT_DOCUMENTS, FIT_PART, MIN_LEAF = 20_000, 5_000, 8.0
+#: Documents of one task of the tree's fit; the least documents of a leaf that is divided.
+FIT_PART, MIN_LEAF = 20_000, 8.0
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
@@ -390,7 +390,7 @@ def document_subjects(
     min_docs: int = 3,
     rounds: int = 2,
     iterations: int = 8,
-    fit_documents: int = FIT_DOCUMENTS,
+    fit_documents: int | None = None,
     seed: int = 5,
 ) -> DataFrame:
     """``(doc_id, subject, share)``: for each document, the subjects of
@@ -405,9 +405,9 @@ def document_subjects(
     rows of a key). Empty ``documents``, ``areas`` or ``labels`` give no row.
     Whole texts are read; other columns are not.
 
-    ``fit_documents`` bounds the documents that the tree of leaves is fitted
-    on: all of them where there are no more, else a share drawn by a hash of
-    their terms. Only the tree's centres come from that sample: every document
+    The tree of leaves is fitted on all documents, unless ``fit_documents``
+    asks for a sample: if there are more, a share drawn by a hash of their
+    terms. Then only the tree's centres come from that sample: every document
     is put into a leaf, and the vocabulary, the leaves' and subjects' counts
     and the evidence are of all documents."""
     spark = documents.sparkSession
@@ -432,14 +432,16 @@ def document_subjects(
     vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(terms)], inputCol="words", outputCol="counts")
     weigh = ElementwiseProduct(scalingVec=Vectors.dense(np.log(n / docs)), inputCol="counts", outputCol="weighed")
     unit = Normalizer(inputCol="weighed", outputCol="features")
-    vectorised = unit.transform(weigh.transform(vectors.transform(coded.withColumn("words", F.col("ids").cast("array<string>"))))).drop("words", "counts", "weighed")
+    vectorise = lambda rows: unit.transform(weigh.transform(vectors.transform(rows.withColumn("words", F.col("ids").cast("array<string>"))))).drop("words", "counts", "weighed")
     kmeans = BisectingKMeans(k=leaves, maxIter=iterations, seed=seed, minDivisibleClusterSize=MIN_LEAF, predictionCol="leaf")
-    drawn = F.pmod(F.xxhash64("ids", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(fit_documents / max(n, 1) * (1 << 20)))
-    # A task's sums are as large as the vocabulary for each cluster, so the sample is in few and equal parts.
-    sample = vectorised.filter((F.size("ids") > 0) & drawn).repartition(-(-min(n, fit_documents) // FIT_PART), "ids")
-    tree = kmeans.fit(sample.select("features"))
+    fitted, several = coded.filter(F.size("ids") > 0).select("ids"), n
+    if fit_documents is not None:
+        fitted, several = fitted.filter(F.pmod(F.xxhash64("ids", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(fit_documents / n * (1 << 20)))), min(n, fit_documents)
+    # A task's sums are as large as the vocabulary for each cluster, so the documents are in few and equal parts, also where texts repeat. Their ids are shuffled, not their vectors.
+    parts = max(-(-several // FIT_PART), min(-(-several // 5_000), spark.sparkContext.defaultParallelism))
+    tree = kmeans.fit(vectorise(fitted.repartition(parts)).select("features"))
     found_leaves = len(tree.clusterCenters())
-    assigned = write_table(tree.transform(vectorised).select("doc_id", "sents", "ids", "at", F.col("leaf").cast("int").alias("leaf")), "assigned")
+    assigned = write_table(tree.transform(vectorise(coded)).select("doc_id", "sents", "ids", "at", F.col("leaf").cast("int").alias("leaf")), "assigned")
     drop(coded)
 
     # Leaves' and labels' terms.

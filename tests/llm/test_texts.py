@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.sql import functions as F
 
 from conftest import DATA
@@ -244,6 +245,24 @@ def test_subjects_by_a_tree_of_a_sample(spark, corpus):
     assert sum(found[i] == truth[i] for i in truth) >= 0.95 * len(truth)
 
 
+def test_subjects_by_a_tree_of_all_documents(spark, corpus, monkeypatch):
+    """Of more than 20,000 documents all are in the tree's fit, as many in each task."""
+    frame, labels, areas, truth = corpus
+    frame = frame.filter("doc_id < 10000").crossJoin(spark.range(30).select(F.col("id").alias("copy"))).select((F.col("doc_id") + 100_000 * F.col("copy")).alias("doc_id"), "text")
+    fit, seen, found = BisectingKMeans.fit, [], defaultdict(set)
+
+    def recorded(self, rows, *args):
+        seen.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(self, rows, *args)
+
+    monkeypatch.setattr(BisectingKMeans, "fit", recorded)
+    for r in document_subjects(frame, labels, areas, leaves=16).collect():
+        found[r["doc_id"]].add(r["subject"])
+    assert [sum(parts) for parts in seen] == [30 * len(truth)]
+    assert max(seen[0]) <= 1.1 * min(seen[0])
+    assert sum(found[100_000 * k + i] == truth[i] for k in range(30) for i in truth) >= 0.95 * 30 * len(truth)
+
+
 def test_held_out_labels(spark):
     """With the labels of half of the labelled documents, the subjects of the other half: of the middle size nine in ten."""
     table = lambda name: spark.read.parquet(f"{DATA}/sf0.1/{name}.parquet")
